@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from talus.llm.langid import op10_language_id
 from talus.llm.packing import op8_best_fit_packing
+from talus.llm.quality import op7_quality_classifier
 
 QUERIES = {
-    "op8_best_fit_packing": op8_best_fit_packing,
+    f.__name__: f
+    for f in (
+        op7_quality_classifier,
+        op8_best_fit_packing,
+        op10_language_id,
+    )
 }
 #: Query name -> DuckDB SQL, where SQL can express the query.
 ORACLES: dict[str, str] = {}
