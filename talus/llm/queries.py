@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from talus.llm.ann import op6_nearest_neighbours
+from talus.llm.decontaminate import op4_decontaminate
 from talus.llm.langid import op10_language_id
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
@@ -9,6 +11,8 @@ from talus.llm.quality import op7_quality_classifier
 QUERIES = {
     f.__name__: f
     for f in (
+        op4_decontaminate,
+        op6_nearest_neighbours,
         op7_quality_classifier,
         op8_best_fit_packing,
         op10_language_id,
