@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from talus.llm.ann import op6_nearest_neighbours
 from talus.llm.decontaminate import op4_decontaminate
+from talus.llm.htmltext import op9_html_text
 from talus.llm.langid import op10_language_id
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
         op6_nearest_neighbours,
         op7_quality_classifier,
         op8_best_fit_packing,
+        op9_html_text,
         op10_language_id,
     )
 }
