@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from talus.llm.ann import op6_nearest_neighbours
+from talus.llm.ctw import op3_ctw_score
 from talus.llm.decontaminate import op4_decontaminate
 from talus.llm.htmltext import op9_html_text
 from talus.llm.langid import op10_language_id
@@ -12,6 +13,7 @@ from talus.llm.quality import op7_quality_classifier
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_ctw_score,
         op4_decontaminate,
         op6_nearest_neighbours,
         op7_quality_classifier,
