@@ -6,6 +6,7 @@ from talus.llm.ann import op6_nearest_neighbours
 from talus.llm.ctw import op3_ctw_score
 from talus.llm.decontaminate import op4_decontaminate
 from talus.llm.htmltext import op9_html_text
+from talus.llm.jaccard import op5_jaccard_join
 from talus.llm.langid import op10_language_id
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op3_ctw_score,
         op4_decontaminate,
+        op5_jaccard_join,
         op6_nearest_neighbours,
         op7_quality_classifier,
         op8_best_fit_packing,
