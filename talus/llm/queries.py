@@ -10,10 +10,12 @@ from talus.llm.jaccard import op5_jaccard_join
 from talus.llm.langid import op10_language_id
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
+from talus.llm.substring import op2_substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_substring_dedup,
         op3_ctw_score,
         op4_decontaminate,
         op5_jaccard_join,
