@@ -8,6 +8,7 @@ from talus.llm.decontaminate import op4_decontaminate
 from talus.llm.htmltext import op9_html_text
 from talus.llm.jaccard import op5_jaccard_join
 from talus.llm.langid import op10_language_id
+from talus.llm.ordering import op1_training_order
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
 from talus.llm.substring import op2_substring_dedup
@@ -15,6 +16,7 @@ from talus.llm.substring import op2_substring_dedup
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_training_order,
         op2_substring_dedup,
         op3_ctw_score,
         op4_decontaminate,
