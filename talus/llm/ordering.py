@@ -26,7 +26,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that goes with these ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN = 512
-RECORDS = 8192
+RECORDS = 4096
+BATCH = 256  # documents that a task returns at a time
 WIDTH = 2  # bytes of a token: little-endian, unsigned
 SHARD_SCHEMA = (
     "shard long, first_slot long, records int, stride int, payload binary,"
@@ -69,8 +70,10 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
     def run(batches):
         encode, end = encoder(path)
         for pdf in batches:
-            ids = [np.append(np.asarray(encode(x or ""), np.uint16), np.uint16(end)) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "t": pdf["t"], "tokens": [x.tobytes() for x in ids], "n": [len(x) for x in ids]})
+            for k in range(0, len(pdf), BATCH):
+                part = pdf.iloc[k : k + BATCH]
+                tokens = [np.append(np.asarray(encode(x or ""), np.uint16), np.uint16(end)).tobytes() for x in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "t": part["t"], "tokens": tokens, "n": [len(x) // WIDTH for x in tokens]})
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     return rows.mapInPandas(run, "doc_id long, t long, tokens binary, n long")
