@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import columns as X
+from talus.operators import adjustments as A
 from talus.operators import candidates as C
 from talus.operators import catalog as K
 from talus.operators import events as E
+from talus.operators import ingest as I
 from talus.operators import ranking as R
 from talus.operators import rules as T
 from talus.operators import scoring as S
@@ -201,3 +203,43 @@ def test_rules(spark):
     src = {"t": F.col("t")}
     rows = spark.createDataFrame([("x",), ("x y",), ("q",), (None,)], "t string").select(T.classified(src, rules, 3, "none").alias("c")).collect()
     assert [r.c for r in rows] == ["a", "b", "none", "none"]
+
+
+def test_masks_round_trip(spark):
+    t = 'see http://a.b/c and http://a.b/c/d, "https://x.y"'
+    m = I.masked(F.lit(t))
+    r = one(spark, m=m["text"], back=I.unmasked(m["text"], m["links"]))
+    assert r.m == 'see {{0}} and {{1}} "{{2}}"' and r.back == t
+
+
+def test_embedded_json(spark):
+    t = 'x = 1; data = {"a": "}{", "b": {"c": "\\"}"}} ; tail {"z": 1}'
+    r = one(spark, j=I.balanced_json(F.lit(t), "data ="), n=I.balanced_json(F.lit("data = {"), "data ="), none=I.balanced_json(F.lit("nothing"), "data ="))
+    assert r.j == '{"a": "}{", "b": {"c": "\\"}"}}' and r.n is None and r.none is None
+    g = one(spark, a=I.json_ld_nodes(F.lit('{"@graph": [{"x": 1}, {"y": 2}]}')), b=I.json_ld_nodes(F.lit('{"x": 1}')), c=I.json_ld_nodes(F.lit('[{"x": 1}]')))
+    assert len(g.a) == 2 and g.b == ['{"x": 1}'] and len(g.c) == 1
+
+
+def test_ingest_scalars(spark):
+    s = lambda *v: F.array(*map(F.lit, v))
+    r = one(
+        spark,
+        slug=I.slug(F.lit("  Foo & Bär 2! ")),
+        sent=I.first_sentence(F.lit("One. Two.")),
+        same=I.merged_hint(s("a", "a", None)),
+        diff=I.merged_hint(s("a", "b")),
+        none=I.merged_hint(F.array(F.lit(None).cast("string"))),
+        gal=I.gallery(s("a", "b"), s("b", "c"), 2),
+        tags=I.tags(F.lit("Tags: red, blue/red\nvery soft"), [("soft", "soft"), ("blue", "blue")]),
+        name=I.display_name(F.lit("Acme  official Thing"), F.lit("ACME"), r"\bofficial\b"),
+        dev=A.device_candidate(F.lit("USB motor (gift box)"), F.lit("x"), ("x",), "refill", r"\(.*?\)", "motor"),
+        boost=A.boosted(F.lit(1), F.lit("k"), {"k": 2}),
+        nob=A.boosted(F.lit(1), F.lit(None).cast("string"), {"k": 2}),
+    )
+    assert (r.slug, r.sent, r.same, r.diff, r.none, r.gal, r.name) == ("foo-bär-2", "One.", "a", "unisex", None, ["a", "b"], "Thing")
+    assert r.tags == ["red", "blue", "soft"] and r.dev and (r.boost, r.nob) == (3, 1)
+
+
+def test_tuning_folds():
+    p = A.tuned(C.Preferences(budget=(100, 200), max_noise=40), ["cheaper", "quieter", "quieter", "nonsense"])
+    assert p.budget == (0.0, 160.0) and p.max_noise == 20
