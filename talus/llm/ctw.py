@@ -170,24 +170,35 @@ class Block:
     """Words and bytes of the documents of a block, with their distinct keys."""
 
     def __init__(self, texts, depth: int):
-        hasher, words, grams = WordHasher(), [], []
+        hasher = WordHasher()
+        self.parts: list[list[np.ndarray]] = [[], []]
         for t in texts:
             w = words_of(t)
-            words.append(hasher([*w, bytes([END])]))
-            grams.append(keys_of(stream(w), depth))
-        self.sizes = [np.array([len(x) for x in part], np.int64) for part in (words, grams)]
-        self.flat = [np.concatenate(words), np.concatenate(grams)]
+            self.parts[0].append(hasher([*w, bytes([END])]))
+            self.parts[1].append(keys_of(stream(w), depth))
 
     def distinct(self, kind: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct keys (0: words, 1: bytes in context) and how often chosen documents hold each."""
-        keys, at = np.unique(self.flat[kind], return_inverse=True)
-        return keys, np.bincount(at.reshape(-1)[np.repeat(chosen, self.sizes[kind])], minlength=len(keys))
+        yes, counts = run_lengths([x for x, c in zip(self.parts[kind], chosen) if c])
+        no, _ = run_lengths([x for x, c in zip(self.parts[kind], chosen) if not c])
+        keys = run_lengths([yes, no])[0]
+        n = np.zeros(len(keys), np.int64)
+        n[np.searchsorted(keys, yes)] = counts
+        return keys, n
+
+    def all_keys(self, kind: int) -> np.ndarray:
+        return run_lengths(self.parts[kind])[0]
 
     def totals(self, kind: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Sum per document of the values of its keys."""
-        ends = np.cumsum(self.sizes[kind])
-        sums = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(keys, self.flat[kind])])])
-        return sums[ends] - sums[ends - self.sizes[kind]]
+        """Sum per document of the values of its keys (sorted keys are looked up in cache order)."""
+        return np.array([values[np.searchsorted(keys, np.sort(x))].sum() for x in self.parts[kind]])
+
+
+def run_lengths(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of several arrays and their counts."""
+    x = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[starts], np.diff(np.append(starts, len(x)))
 
 
 def _gather(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -266,7 +277,7 @@ def score(docs: DataFrame, trains, depth: int = DEPTH, block_bytes: int = 8 << 2
         block = Block(left["text"], depth)
         value = []
         for kind in (0, 1):
-            keys = np.unique(block.flat[kind])
+            keys = block.all_keys(kind)
             of = _bucket(keys, kind == 0, depth, buckets)
             v = np.empty(len(keys))
             for b, raw in right.loc[right["kind"] == kind, ["bucket", "value"]].itertuples(index=False):
@@ -278,7 +289,7 @@ def score(docs: DataFrame, trains, depth: int = DEPTH, block_bytes: int = 8 << 2
             {
                 "doc_id": left["doc_id"],
                 "held_out": ~left["trains"],
-                "n_tokens": block.sizes[0],
+                "n_tokens": [len(x) for x in block.parts[0]],
                 "n_known": block.totals(0, words, (c > 0).astype(float)).round().astype(np.int64),
                 "train_tokens": int(n_train),
                 "base_score": block.totals(0, words, base),
