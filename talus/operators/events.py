@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,25 +20,36 @@ def fixed_window_limit(events: DataFrame, key: str, at: str, order: str, window_
     """Decide each event: allowed or not under ``limit`` events per window and key.
 
     A window starts at the first event after the previous one ended (not at
-    multiples of its length), which is a fold over a key's events in time
-    order. Keys fold apart; an event carries its count in its window.
+    multiples of its length): a fold over a key's events in time order, ties
+    by ``order``. The fold runs over sorted partitions batch by batch and holds
+    one window's start and count, however many events a key has. Rows with a
+    null key or time take no part.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(order).alias("o"))))
-    zero = F.struct(
-        F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"),
-        F.array().cast("array<struct<o:bigint,n:int,start:bigint>>").alias("out"),
-    )
-
-    def step(state: Column, e: Column) -> Column:
-        fresh = state["start"].isNull() | (e["t"] >= state["start"] + window_us)
-        start = F.when(fresh, e["t"]).otherwise(state["start"])
-        n = F.when(fresh, 1).otherwise(state["n"] + 1)
-        row = F.struct(e["o"].alias("o"), n.cast("int").alias("n"), start.alias("start"))
-        return F.struct(start.alias("start"), n.cast("int").alias("n"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    folded = events.groupBy(key).agg(F.aggregate(seq, zero, step, lambda s: s["out"]).alias("w"))
-    out = folded.select(key, F.inline("w"))
-    return out.select(key, F.col("o").alias(order), F.col("n").alias("window_count"), (F.col("n") <= limit).alias("allowed"))
+    types = dict(events.dtypes)
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(key, at, order).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    rows = rows.repartition(parts, key).sortWithinPartitions(key, at, order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, start, n = None, 0, 0
+        for pdf in batches:
+            k, t = pdf[key].to_numpy(), pdf[at].to_numpy()
+            count = np.zeros(len(k), np.int32)
+            cuts = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+            i = 0
+            for end in cuts if len(k) else ():
+                if last is None or k[i] != last:
+                    last, start, n = k[i], int(t[i]), 0
+                while i < end:
+                    stop = i + int(np.searchsorted(t[i:end], start + window_us))
+                    count[i:stop] = np.arange(n + 1, n + 1 + stop - i)
+                    n += stop - i
+                    i = stop
+                    if i < end:
+                        start, n = int(t[i]), 0
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], "window_count": count, "allowed": count <= limit})
+
+    return rows.mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, window_count int, allowed boolean")
 
 
 def retained(rows: DataFrame, at: Column, as_of: Column, days: int) -> DataFrame:

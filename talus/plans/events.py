@@ -10,6 +10,14 @@ from talus.operators import events as E
 from talus.plans.registry import query, table
 
 HOUR = 3_600_000_000
+#: Parts into which the rows of a topic are dealt: a topic is no single task.
+SALTS = 32
+
+
+def salted(rows, queries, by):
+    """Rows of a topic with the topic's queries, which are copied to each part of the rows."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(queries.withColumn("part", parts), ["label", "part"])
 
 
 def events(spark, sf_dir):
@@ -113,7 +121,7 @@ def vec_related_topk(spark, sf_dir):
     """Three related rows of the same topic by cosine, for the stated queries."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv"))
-    s = e.withColumnRenamed("vec_id", "c").join(q, "label").where("q <> c").withColumn("cos", X.cosine(F.col("qv"), F.col("v")))
+    s = salted(e.withColumnRenamed("vec_id", "c"), q, "c").where("q <> c").withColumn("cos", X.cosine(F.col("qv"), F.col("v")))
     w = Window.partitionBy("q").orderBy(F.round("cos", 9).desc(), "c")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("q", "c", F.round("cos", 6).alias("cos"), "rank")
 
@@ -133,7 +141,7 @@ def vec_hybrid_related(spark, sf_dir):
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.array(tag(3), tag(5), tag(3)).alias("tags"), (i % 9).alias("views"), (i % 10 == 0).alias("featured")
     )
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv"), F.col("tags").alias("qt"))
-    s = e.join(q, "label").where("q <> vec_id")
+    s = salted(e, q, "vec_id").where("q <> vec_id")
     score = 100 * X.cosine(F.col("qv"), F.col("v")) + 8 * X.overlap(F.col("qt"), F.col("tags")) + F.when(F.col("featured"), 2).otherwise(0) + F.least("views", F.lit(20)) / 20
     s = s.select("q", F.col("vec_id").alias("c"), F.round(score, 6).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -122,9 +124,11 @@ def txt_token_recall(spark, sf_dir):
     """Token recall of every item against all Spanish documents, by status."""
     items = table(spark, sf_dir, "benchmark").select("item_id", X.distinctive_tokens(F.col("text"), ("the", "and")).alias("tokens"))
     docs = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")
-    # a stated, small query set against all rows; its size is the benchmark's
-    pairs = docs.crossJoin(F.broadcast(items)) if items.count() <= 10_000 else docs.crossJoin(items)
-    s = pairs.withColumn("score", X.recall(F.col("tokens"), F.col("text")))
+    # a stated query set against all rows, in blocks of items of a counted size
+    blocks = 1 + items.count() // 10_000
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    parts = [docs.crossJoin(F.broadcast(items.where(block == b))) for b in range(blocks)]
+    s = reduce(lambda a, b: a.unionByName(b), parts).withColumn("score", X.recall(F.col("tokens"), F.col("text")))
     return s.groupBy("item_id").agg(F.max(F.round("score", 6)).alias("best"), F.count_if(F.col("score") >= 0.9).alias("n_match"), F.count_if(F.col("score") < 0.2).alias("n_mismatch"))
 
 
