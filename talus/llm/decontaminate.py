@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from talus.llm.common import sized, table, write_table
 
+#: Edits that an item may carry, as a share of its characters.
+RATE = 0.08
 SCHEMA = "doc_id long, item_id long, distance int, begin int, finish int"
 
 
@@ -132,7 +134,7 @@ class Matcher:
         return out
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05, block_bytes: int = 8 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = 8 << 20) -> DataFrame:
     """Rows (doc_id, item_id, distance, begin, finish) of documents that hold an item.
 
     An item of n characters may differ by ``int(rate * n)`` edits; case and

@@ -95,7 +95,7 @@ def test_matches_against_brute_force(spark):
                 n, text = dc.normal(it), dc.normal(t)
                 if n:
                     e, end = slow_distance(n, text)
-                    if e <= int(len(n) * 0.05):
+                    if e <= int(len(n) * dc.RATE):
                         want.append((i, k, e, end))
         assert got == sorted(want)
     assert dc.matches(d, b.limit(0)).collect() == [] and dc.matches(d.limit(0), b).collect() == []
