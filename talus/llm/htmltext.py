@@ -56,7 +56,9 @@ BAD_HINTS = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "pagination", "pager", "popup",
     "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing",
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar",
-    "widget", "widgets", "complementary", "contentinfo",
+    "widget", "widgets", "complementary", "contentinfo", "announcement", "aside", "copyright", "crumbs", "cta", "disclaimer",
+    "discussion", "feedback", "flash", "ftr", "hdr", "legal", "links", "overlay", "rail", "responses", "side", "skip", "toast",
+    "toc",
 }
 GOOD_HINTS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 NOT_REALLY = {"with", "has", "no", "without", "hide"}
