@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,14 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of ``write_table`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the scratch tables that these frames read, once nothing needs them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"{scratch_dir(spark).split(':', 1)[-1].strip('/')}/talus/" in name:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -122,3 +126,38 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * _MIX + hashes[i : i + m]
     return mix64(out)
+
+
+def slices(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of equal keys of sorted batches as arrays by column; a group may span batches."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if rest is not None:
+            cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
+        n = len(next(iter(cols.values())))
+        new = np.zeros(n - 1, bool)
+        for k in keys:
+            new |= cols[k][1:] != cols[k][:-1]
+        ends = np.flatnonzero(new) + 1
+        start = 0
+        for end in ends:
+            yield {c: v[start:end] for c, v in cols.items()}
+            start = end
+        rest = {c: v[start:] for c, v in cols.items()}
+    if rest is not None:
+        yield rest
+
+
+def framed(rows: Iterator[tuple], columns: list[str], size: int = 2000) -> Iterator[pd.DataFrame]:
+    """Rows as frames of about ``size`` rows."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)

@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import WordHasher, mix64, shingles, sized, table, words_of, write_table
+from talus.llm.common import WordHasher, drop_table, framed, mix64, shingles, sized, slices, table, words_of, write_table
 from talus.llm.graph import components
 
 COORDS = 64
 SHINGLE = 5
-TILE = 192
+TILE = 512
 _A = mix64(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix64(np.arange(1001, COORDS + 1001, dtype=np.uint64))
 
@@ -37,11 +37,11 @@ def shingle_set(text: str | None, hasher: WordHasher) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """COORDS min-hash tokens of 16 bits."""
+    """COORDS min-hash tokens of 32 bits: chance alone must not put texts into one node."""
     low = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 2048):
         low = np.minimum(low, (s[i : i + 2048, None] * _A + _B).min(0))
-    return (mix64(low) >> np.uint64(48)).astype(np.uint16)
+    return (mix64(low) >> np.uint64(32)).astype(np.uint32)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -70,42 +70,50 @@ def runs_needed(similarity: float, recall: float, depth: int = 2) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive)) if alive < 1 else 1
 
 
-def split(rows: DataFrame, similarity: float, level: int) -> DataFrame:
-    """Children (path, sid, size of the parent) of rows (path, sid, sig, n_rows)."""
+def split(rows: DataFrame, similarity: float, level: int, runs: int = 0) -> DataFrame:
+    """Children (path, sid, size of the parent) of rows (path, sid, sig, n_rows); of the roots of all ``runs``, if given."""
     limit = np.uint64(int(2**64 / (similarity * COORDS)))
+    coord = np.arange(COORDS, dtype=np.uint64)
+
+    def children(path: np.ndarray, pdf: pd.DataFrame, sig: np.ndarray) -> pd.DataFrame:
+        node = mix64(path.astype(np.uint64) + np.uint64(level * 7919))
+        i, j = np.nonzero(mix64(node[:, None] ^ mix64(coord + np.uint64(77))[None, :]) < limit)
+        if len(node) == 1:  # a root: all rows stand at it
+            i, j = np.repeat(np.arange(len(pdf)), len(j)), np.tile(j, len(pdf))
+            node = np.repeat(node, len(pdf))
+        child = mix64(node[i] ^ mix64((sig[i, j] << np.uint64(8)) + coord[j])) >> np.uint64(1)
+        return pd.DataFrame({"path": child.astype(np.int64), "sid": pdf["sid"].to_numpy()[i], "parent": pdf["n_rows"].to_numpy()[i]})
 
     def run(batches):
-        coord = np.arange(COORDS, dtype=np.uint64)
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, COORDS).astype(np.uint64)
-            node = mix64(pdf["path"].to_numpy().astype(np.uint64) + np.uint64(level * 7919))
-            chosen = mix64(node[:, None] ^ mix64(coord + np.uint64(77))[None, :]) < limit
-            i, j = np.nonzero(chosen)
-            child = mix64(node[i] ^ mix64((sig[i, j] << np.uint64(8)) + coord[j])) >> np.uint64(1)
-            yield pd.DataFrame({"path": child.astype(np.int64), "sid": pdf["sid"].to_numpy()[i], "parent": pdf["n_rows"].to_numpy()[i]})
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDS).astype(np.uint64)
+            if not runs:
+                yield children(pdf["path"].to_numpy(), pdf, sig)
+            for r in range(1, runs + 1):
+                yield children(np.array([r]), pdf, sig)
 
-    return rows.select("path", "sid", "sig", "n_rows").mapInPandas(run, "path long, sid long, parent long")
+    own = ["sid", "sig", "n_rows"] if runs else ["path", "sid", "sig", "n_rows"]
+    return rows.select(*own).mapInPandas(run, "path long, sid long, parent long")
 
 
 def leaves(sets: DataFrame, similarity: float, recall: float, max_depth: int = 8, small: int = TILE) -> DataFrame:
     """(path, sid, n_rows) of the nodes to compare, over all runs; nodes with a single set are left out."""
-    runs = runs_needed(similarity, recall)
-    total = sets.count()
-    roots = F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<long>"))
-    rows = sets.select(roots.alias("path"), "sid", "sig", F.lit(total).alias("n_rows"))
+    rows = sets.select("sid", "sig", F.lit(sets.count()).alias("n_rows"))
     out = None
     for level in range(max_depth):
-        children = write_table(split(rows, similarity, level).distinct(), "paths")
+        children = split(rows, similarity, level, 0 if level else runs_needed(similarity, recall))
+        children = write_table(children, "paths")
         sizes = children.groupBy("path").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-        counted = children.join(sizes, "path")
+        counted = write_table(children.join(sizes, "path"), "shared-nodes")
+        drop_table(children)
         done = (F.col("n_rows") <= small) | (F.col("n_rows") > 0.6 * F.col("parent"))
         if level == max_depth - 1:
             done = F.lit(True)
         part = counted.where(done).select("path", "sid", "n_rows")
         out = part if out is None else out.unionByName(part)
-        wide = write_table(counted.where(~done).select("path", "sid", "n_rows"), "wide-nodes")
+        wide = counted.where(~done).select("path", "sid", "n_rows")
         if wide.isEmpty():
             break
         rows = wide.join(sets.select("sid", "sig"), "sid")
@@ -175,13 +183,13 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total.astype(np.int64)
 
 
-def _tile_rows(pdf: pd.DataFrame, similarity: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, COORDS)
-    longest = max(map(len, pdf["paths"]))
-    paths = np.full((len(pdf), longest), -1, np.int64)
-    for r, p in enumerate(pdf["paths"]):
+def _tile_rows(g: dict[str, np.ndarray], similarity: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(-1, COORDS)
+    longest = max(map(len, g["paths"]))
+    paths = np.full((len(sig), longest), -1, np.int64)
+    for r, p in enumerate(g["paths"]):
         paths[r, : len(p)] = p
-    return likely_pairs(sig, pdf["n"].to_numpy(), pdf["side"].to_numpy(), paths, int(pdf["path"].iloc[0]), similarity, slack)
+    return likely_pairs(sig, g["n"], g["side"], paths, int(g["path"][0]), similarity, slack)
 
 
 _TILE = ["path", "a", "b"]
@@ -208,7 +216,9 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     )
     sets = write_table(sets, "sets")
     some = sets.where("sid <> 0").select("sid", "n", "texts", "sig")
-    found = write_table(leaves(some, similarity, recall).distinct(), "nodes")
+    nodes = leaves(some, similarity, recall)
+    found = write_table(nodes, "nodes")
+    drop_table(nodes)
     own = found.groupBy("sid").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a few per run
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / TILE).cast("int"))
     mine = F.pmod(F.xxhash64("sid", "path"), F.col("n_blocks")).cast("int")
@@ -226,15 +236,21 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, *_TILE).sortWithinPartitions(*_TILE)
 
-    def probe(batches):
-        for g in grouped(batches, _TILE):
-            if len(g) > 1:
+    columns = rows.columns
+
+    def likely(batches):
+        for g in slices(batches, _TILE):
+            if len(g["sid"]) > 1:
                 i, j = _tile_rows(g, similarity, slack)
-                if len(i):
-                    yield g.iloc[np.union1d(i, j)]
+                for r in np.union1d(i, j):
+                    yield tuple(g[c][r] for c in columns)
+
+    def probe(batches):
+        return framed(likely(batches), columns)
 
     shape = rows.schema
     wanted = write_table(rows.mapInPandas(probe, shape), "likely")
+    drop_table(found)
     needed = wanted.select("sid").distinct().join(sets.select("sid", "least"), "sid").select("sid", F.col("least").alias("doc_id"))
     needed = write_table(needed, "needed")
 
@@ -250,19 +266,19 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     items = texts.mapInPandas(whole, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
     rows = wanted.join(items, "sid").repartition(parts, *_TILE).sortWithinPartitions(*_TILE)
 
-    def verify(batches):
-        for g in grouped(batches, _TILE):
+    def verified(batches):
+        for g in slices(batches, _TILE):
             i, j = _tile_rows(g, similarity, slack)
             if not len(i):
                 continue
-            n, sid, weight = g["n"].to_numpy(), g["sid"].to_numpy(), g["texts"].to_numpy()
+            n, sid, weight = g["n"], g["sid"], g["texts"]
             both = intersections([np.frombuffer(b, np.uint64) for b in g["items"]], i, j)
             ok = both >= similarity * (n[i] + n[j] - both) - 1e-9
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            count = np.bincount(i, weight[j], len(g)) + np.bincount(j, weight[i], len(g))
-            root = np.arange(len(g))
+            count = np.bincount(i, weight[j], len(sid)) + np.bincount(j, weight[i], len(sid))
+            root = np.arange(len(sid))
             while True:
                 low = root.copy()
                 np.minimum.at(low, i, root[j])
@@ -271,8 +287,11 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
                 if (low == root).all():
                     break
                 root = low
-            hit = count > 0
-            yield pd.DataFrame({"u": sid[hit], "v": sid[root[hit]], "links": count[hit].astype(np.int64)})
+            for r in np.flatnonzero(count):
+                yield int(sid[r]), int(sid[root[r]]), int(count[r])
+
+    def verify(batches):
+        return framed(verified(batches), ["u", "v", "links"])
 
     joined = write_table(rows.mapInPandas(verify, "u long, v long, links long"), "links")
     comp = components(joined.select("u", "v"))
@@ -280,6 +299,7 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     named = sets.join(comp, sets.sid == comp.node, "left").join(counts, sets.sid == counts.u, "left")
     named = named.select("sid", F.coalesce("root", "sid").alias("root"), "least", "texts", F.coalesce("links", F.lit(0)).alias("links"))
     named = write_table(named, "named")
+    drop_table(sets, wanted, needed, joined, comp)
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = named.join(least, "root").select(
         "sid", "class_id", F.when(F.col("sid") == 0, F.lit(0)).otherwise(F.col("links") + F.col("texts") - 1).cast("long").alias("n_links")

@@ -50,7 +50,7 @@ def corpus():
             rows.append((i, " ".join(w)))
             i += 1
     hot = rng.choices(vocab, k=200)
-    for _ in range(260):  # one group of near copies beyond a tile
+    for _ in range(560):  # one group of near copies beyond a tile
         w = list(hot)
         w[rng.randrange(200)] = rng.choice(vocab)
         rows.append((i, " ".join(w)))
