@@ -10,7 +10,6 @@ anywhere by arithmetic alone.
 from __future__ import annotations
 
 import base64
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import mix64, sized, table, write_table
+from talus.llm.common import BROADCAST_BYTES, mix64, table, write_table
 from talus.llm.jaccard import grouped
 
 #: Byte-level BPE ranks; None gives one token per byte.
@@ -131,17 +130,21 @@ def shards(
     rows = tokenised(docs, tokenizer).withColumn("rid", F.monotonically_increasing_id())
     rows = write_table(rows.withColumn("n_seq", F.ceil(F.col("n") / seq_len)), "tokens")
     numbers, total = first_numbers(rows.select("rid", "doc_id", "t", "n_seq"), ["doc_id", "t", "rid"], "n_seq", parts)
-    numbers = write_table(numbers.select("rid", "first"), "first-numbers")
 
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), total, key))
-
-    placed = rows.join(sized(numbers, 24), "rid").select(
-        "doc_id", "first", "tokens", "n", F.explode(F.sequence(F.lit(0), F.col("n_seq").cast("int") - 1)).alias("seq_no")
-    )
+    def permute(batches):
+        for pdf in batches:
+            n = pdf["n_seq"].to_numpy(np.int64)
+            ends = np.cumsum(n)
+            index = np.repeat(pdf["first"].to_numpy(np.int64) - ends + n, n) + np.arange(n.sum())
+            slots = np.split(feistel(index, total, key), ends[:-1]) if len(n) else []
+            yield pd.DataFrame({"rid": pdf["rid"], "slots": [s.tolist() for s in slots]})
+
+    slots = write_table(numbers.select("rid", "first", "n_seq").mapInPandas(permute, "rid long, slots array<long>"), "slots")
+    if 32 * slots.count() + 8 * total <= BROADCAST_BYTES:
+        slots = F.broadcast(slots)
+    placed = rows.join(slots, "rid").select("doc_id", "tokens", "n", F.posexplode("slots").alias("seq_no", "slot"))
     placed = placed.select(
-        slot(F.col("first") + F.col("seq_no")).alias("slot"),
+        "slot",
         "doc_id",
         "seq_no",
         F.least(F.lit(seq_len), F.col("n") - F.col("seq_no") * seq_len).cast("int").alias("n_tokens"),
@@ -183,24 +186,18 @@ def write_shards(made: DataFrame, path: str) -> None:
 
 def records_of(made: DataFrame) -> DataFrame:
     """One row per record: slot, shard, record, doc_id, seq_no, n_tokens, crc (of the record's bytes)."""
-
-    def run(batches):
-        for pdf in batches:
-            for s in pdf.itertuples(index=False):
-                view = memoryview(s.payload)
-                yield pd.DataFrame(
-                    {
-                        "slot": s.first_slot + np.arange(s.records),
-                        "shard": s.shard,
-                        "record": np.arange(s.records, dtype=np.int32),
-                        "doc_id": pd.array(list(s.doc_ids), "Int64"),
-                        "seq_no": list(s.seq_nos),
-                        "n_tokens": list(s.n_tokens),
-                        "crc": [zlib.crc32(view[i * s.stride : (i + 1) * s.stride]) for i in range(s.records)],
-                    }
-                )
-
-    return made.mapInPandas(run, "slot long, shard long, record int, doc_id long, seq_no int, n_tokens int, crc long")
+    each = made.select(
+        "shard", "first_slot", "stride", "payload", F.posexplode(F.arrays_zip("doc_ids", "seq_nos", "n_tokens")).alias("record", "r")
+    )
+    return each.select(
+        (F.col("first_slot") + F.col("record")).alias("slot"),
+        "shard",
+        "record",
+        F.col("r.doc_ids").alias("doc_id"),
+        F.col("r.seq_nos").alias("seq_no"),
+        F.col("r.n_tokens").alias("n_tokens"),
+        F.expr("crc32(substring(payload, record * stride + 1, stride))").alias("crc"),
+    )
 
 
 def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS) -> DataFrame:
