@@ -70,7 +70,17 @@ def vote(answers: DataFrame, weights: DataFrame, by: str) -> DataFrame:
 
 
 def answer_path(steps: DataFrame, session: str, order: str, step: str) -> DataFrame:
-    """Answer path per session: answering a step again cuts the path from that step on."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(step).alias("s"))))
-    path = F.aggregate(seq, F.array().cast("array<bigint>"), lambda p, e: F.concat(F.filter(p, lambda x: x < e["s"]), F.array(e["s"].cast("long"))))
-    return steps.groupBy(session).agg(path.alias("path"))
+    """Answer path per session: answering a step again cuts the path from that step on.
+
+    A step stays if no smaller one was answered after its last time, so only the
+    last order of each step is needed. A null step cuts the whole path and
+    stays only where nothing follows. At equal order the smaller step is first.
+    """
+    last = steps.groupBy(session, F.col(step).cast("long").alias("_s")).agg(F.max(order).alias("_o"))
+    by = Window.partitionBy(session)
+    smaller = F.max("_o").over(by.orderBy(F.asc_nulls_first("_s")).rowsBetween(Window.unboundedPreceding, -1))
+    end = F.max(F.struct("_o", "_s")).over(by)
+    last = last.withColumn("_m", smaller).withColumn("_e", end)
+    stays = F.coalesce(F.col("_o") >= F.col("_m"), F.col("_m").isNull()) & (F.col("_s").isNotNull() | F.col("_e._s").isNull())
+    path = F.transform(F.array_sort(F.collect_list(F.struct("_s"))), lambda e: e["_s"])
+    return last.where(stays).groupBy(session).agg(path.alias("path"))

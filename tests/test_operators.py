@@ -243,3 +243,21 @@ def test_ingest_scalars(spark):
 def test_tuning_folds():
     p = A.tuned(C.Preferences(budget=(100, 200), max_noise=40), ["cheaper", "quieter", "quieter", "nonsense"])
     assert p.budget == (0.0, 160.0) and p.max_noise == 20
+
+
+def test_answer_path_aggregates_before_it_collects(spark):
+    import random
+
+    from talus.operators.events import answer_path
+
+    rng = random.Random(3)
+    rows = [(u, rng.choice([None, *range(30)]) if u % 3 else i, rng.choice([None, *range(9)])) for u in range(60) for i in range(rng.randrange(1, 25))]
+    want = {}
+    low = lambda v: -1 if v is None else v
+    for u, _, s in sorted(rows, key=lambda r: (r[0], low(r[1]), low(r[2]))):
+        want[u] = [x for x in want.get(u, []) if None not in (x, s) and x < s] + [s]
+    got = answer_path(spark.createDataFrame(rows, "u int, o int, s int"), "u", "o", "s")
+    assert {r.u: r.path for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    collected, below = plan.split("collect_list", 1)
+    assert "max(" in below and "Aggregate [u" in below
