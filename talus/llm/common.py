@@ -2,17 +2,19 @@
 
 Intermediate tables go to the shared folder that ``spark.checkpoint.dir``
 names (any executor can read them again after a loss); a private temporary
-folder is used only where that setting is missing, as in local tests.
+folder is used only where that setting is missing and the master is local, as
+in tests. On a cluster without the setting this is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder of the cluster; set here only where unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="talus-scratch-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -62,6 +66,67 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Bytes of rows that one task of a sorted shuffle should get.
+TASK_BYTES = 16 << 20
+
+
+def parts_for(rows: int, row_bytes: int) -> int:
+    """Number of partitions for counted rows of about ``row_bytes`` each, so that a task's share does not grow with the input."""
+    return max(1, -(-rows * row_bytes // TASK_BYTES))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: A key with more than this share of all rows is hot: there are at most 1 / HOT of them.
+HOT = 0.001
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Join rows to a table with one row per key, without a hot key's rows in one task.
+
+    ``weight`` names the column of ``unique`` with the number of rows of a
+    key, ``total`` is the number of all rows. Hot keys, 1 / HOT at most
+    whatever the input, are broadcast and their rows stay where they are.
+    Both tables are read twice, so they should be written ones.
+    """
+    hot = F.coalesce(F.col(weight) > F.lit(HOT * total), F.lit(False))
+    few = F.broadcast(unique.where(hot))
+    rest = rows.join(few.select(key), key, "left_anti").join(unique.where(~hot), key)
+    return rows.join(few, key).unionByName(rest)
+
+
+_ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+    "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ddl.split(","))])
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str) -> DataFrame:
+    """Map Arrow batches to columns. Unlike pandas columns, 64-bit ids stay exact beside nulls.
+
+    ``make`` is called once per task and gives the function of a batch, so
+    that it may hold state (caches, automata).
+    """
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(of(batch), schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
 

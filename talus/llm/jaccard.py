@@ -6,7 +6,8 @@ coordinates are sampled, and a set goes to the child of each sampled
 coordinate's token, 1 / similarity children on average. Small nodes are
 compared pair by pair; a node that no longer shrinks (near copies) is compared
 in tiles of bounded size. Runs are repeated until the chance of missing a pair
-at the threshold is below the target. Pairs that the min-hash tokens make
+at the threshold is below the target at the depth that the data really reach:
+a deeper tree gets more runs. Pairs that the min-hash tokens make
 likely are verified on the whole shingle sets, each in the first of its common
 nodes only, so that links can be counted without ever listing them.
 """
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import WordHasher, drop_table, framed, mix64, shingles, sized, slices, table, words_of, write_table
+from talus.llm.common import WordHasher, drop_table, framed, fresh, join_unique, map_batches, mix64, shingles, sized, slices, table, words_of, write_table
 from talus.llm.graph import components
 
 COORDS = 64
@@ -44,70 +45,97 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix64(low) >> np.uint64(32)).astype(np.uint32)
 
 
+def set_key(s: np.ndarray) -> int:
+    """A 63-bit hash of a shingle set; 0 for the empty one."""
+    import xxhash
+
+    return (xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 or 1) if len(s) else 0
+
+
+def text_key() -> F.Column:
+    """A 64-bit hash of a row's text; null is the empty text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, sid (hash of the shingle set; 0: no words), tid (hash of the text), n (set size), sig."""
-    import xxhash
 
-    def run(batches):
+    def make():
         hasher = WordHasher()
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"]):
-                s = shingle_set(t, hasher)
-                sid = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 or 1
-                tid = xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) >> 1
-                rows.append((i, sid if len(s) else 0, tid, len(s), signature(s).tobytes() if len(s) else b""))
-            yield pd.DataFrame(rows, columns=["doc_id", "sid", "tid", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sid long, tid long, n int, sig binary")
+        def of(batch):
+            sets = [shingle_set(t, hasher) for t in batch["text"].to_pylist()]
+            return {
+                "doc_id": batch["doc_id"],
+                "sid": [set_key(s) for s in sets],
+                "tid": batch["tid"],
+                "n": [len(s) for s in sets],
+                "sig": [signature(s).tobytes() if len(s) else b"" for s in sets],
+            }
 
+        return of
 
-def runs_needed(similarity: float, recall: float, depth: int = 2) -> int:
-    """Runs until a pair at the threshold shares a node ``depth`` levels down with probability ``recall``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tid"), "text")
+    return map_batches(rows, make, "doc_id long, sid long, tid long, n int, sig binary")
+
+
+def survival(depth: int) -> float:
+    """The chance that a pair at the threshold shares a node ``depth`` levels down in one run."""
     alive = 1.0
     for _ in range(depth):
         alive = 1 - (1 - alive / COORDS) ** COORDS  # a common token is sampled 1 / COORDS of the time
+    return alive
+
+
+def runs_needed(recall: float, depth: int = 2) -> int:
+    """Runs until a pair at the threshold shares a node ``depth`` levels down with probability ``recall``."""
+    alive = survival(depth)
     return math.ceil(math.log(1 - recall) / math.log(1 - alive)) if alive < 1 else 1
 
 
-def split(rows: DataFrame, similarity: float, level: int, runs: int = 0) -> DataFrame:
-    """Children (path, sid, size of the parent) of rows (path, sid, sig, n_rows); of the roots of all ``runs``, if given."""
+def children(path: np.ndarray, sig: np.ndarray, similarity: float, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) for each child of each row; ``path`` is a node a row, or the one root at which all rows stand."""
     limit = np.uint64(int(2**64 / (similarity * COORDS)))
     coord = np.arange(COORDS, dtype=np.uint64)
+    node = mix64(path.astype(np.uint64) + np.uint64(level * 7919))
+    i, j = np.nonzero(mix64(node[:, None] ^ mix64(coord + np.uint64(77))[None, :]) < limit)
+    if len(node) == 1:
+        i, j = np.repeat(np.arange(len(sig)), len(j)), np.tile(j, len(sig))
+        node = np.repeat(node, len(sig))
+    child = mix64(node[i] ^ mix64((sig[i, j].astype(np.uint64) << np.uint64(8)) + coord[j])) >> np.uint64(1)
+    return i, child.astype(np.int64)
+
 
-    def children(path: np.ndarray, pdf: pd.DataFrame, sig: np.ndarray) -> pd.DataFrame:
-        node = mix64(path.astype(np.uint64) + np.uint64(level * 7919))
-        i, j = np.nonzero(mix64(node[:, None] ^ mix64(coord + np.uint64(77))[None, :]) < limit)
-        if len(node) == 1:  # a root: all rows stand at it
-            i, j = np.repeat(np.arange(len(pdf)), len(j)), np.tile(j, len(pdf))
-            node = np.repeat(node, len(pdf))
-        child = mix64(node[i] ^ mix64((sig[i, j] << np.uint64(8)) + coord[j])) >> np.uint64(1)
-        return pd.DataFrame({"path": child.astype(np.int64), "sid": pdf["sid"].to_numpy()[i], "parent": pdf["n_rows"].to_numpy()[i]})
+def split(rows: DataFrame, similarity: float, level: int, runs: range | None = None) -> DataFrame:
+    """Children (path, sid, size of the parent) of rows (path, sid, sig, n_rows); of the roots of ``runs``, if given."""
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDS).astype(np.uint64)
-            if not runs:
-                yield children(pdf["path"].to_numpy(), pdf, sig)
-            for r in range(1, runs + 1):
-                yield children(np.array([r]), pdf, sig)
-
-    own = ["sid", "sig", "n_rows"] if runs else ["path", "sid", "sig", "n_rows"]
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDS)
+            sid, size = pdf["sid"].to_numpy(), pdf["n_rows"].to_numpy()
+            for root in [None] if runs is None else runs:
+                path = pdf["path"].to_numpy() if root is None else np.array([root])
+                i, child = children(path, sig, similarity, level)
+                yield pd.DataFrame({"path": child, "sid": sid[i], "parent": size[i]})
+
+    own = ["path", "sid", "sig", "n_rows"] if runs is None else ["sid", "sig", "n_rows"]
     return rows.select(*own).mapInPandas(run, "path long, sid long, parent long")
 
 
-def leaves(sets: DataFrame, similarity: float, recall: float, max_depth: int = 8, small: int = TILE) -> DataFrame:
-    """(path, sid, n_rows) of the nodes to compare, over all runs; nodes with a single set are left out."""
+def leaves(sets: DataFrame, similarity: float, runs: range, max_depth: int = 8, small: int = TILE) -> tuple[DataFrame, int]:
+    """(path, sid, n_rows) of the nodes to compare over ``runs``, and the depth reached; nodes with a single set are left out.
+
+    Nodes still large at ``max_depth`` are compared in tiles like all others.
+    """
     rows = sets.select("sid", "sig", F.lit(sets.count()).alias("n_rows"))
     out = None
     for level in range(max_depth):
-        children = split(rows, similarity, level, 0 if level else runs_needed(similarity, recall))
-        children = write_table(children, "paths")
-        sizes = children.groupBy("path").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-        counted = write_table(children.join(sizes, "path"), "shared-nodes")
-        drop_table(children)
+        below = write_table(split(rows, similarity, level, None if level else runs), "paths")
+        sizes = below.groupBy("path").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+        counted = write_table(below.join(sizes, "path"), "shared-nodes")
+        drop_table(below)
         done = (F.col("n_rows") <= small) | (F.col("n_rows") > 0.6 * F.col("parent"))
         if level == max_depth - 1:
             done = F.lit(True)
@@ -117,25 +145,18 @@ def leaves(sets: DataFrame, similarity: float, recall: float, max_depth: int = 8
         if wide.isEmpty():
             break
         rows = wide.join(sets.select("sid", "sig"), "sid")
-    return out
+    return out, level + 1
 
 
-def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal keys of sorted batches; a group may span batches."""
-    rest = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        k = pdf[keys].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        start = 0
-        for c in cuts:
-            yield pdf.iloc[start:c]
-            start = c
-        rest = pdf.iloc[start:].reset_index(drop=True)
-    if rest is not None:
-        yield rest
+def all_leaves(sets: DataFrame, similarity: float, recall: float, **how) -> DataFrame:
+    """Leaves of as many runs as ``recall`` takes at the depth that they reach."""
+    done, need, deepest, out = 0, runs_needed(recall), 2, None
+    while done < need:
+        nodes, depth = leaves(sets, similarity, range(done + 1, need + 1), **how)
+        out = nodes if out is None else out.unionByName(nodes)
+        deepest = max(deepest, depth)
+        done, need = need, runs_needed(recall, deepest)
+    return out
 
 
 def likely_pairs(sig, n, side, paths, path: int, similarity: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +216,8 @@ def _tile_rows(g: dict[str, np.ndarray], similarity: float, slack: float) -> tup
 _TILE = ["path", "a", "b"]
 
 
-def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack: float = 0.18) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its near-duplicate class) and n_links.
+def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack: float = 0.18) -> DataFrame:
+    """One row per document: doc_id, tid (text key), class_id (least doc_id of its near-duplicate class), n_links, kept.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word
     shingles is at least ``similarity``; classes are the connected components.
@@ -204,19 +225,23 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     Words are split at white space, A-Z in lower case; a text of one to four
     words has one shingle. Null and empty texts and those of white space alone
     are copies of each other, with no links. Equal texts and repeated rows
-    share a class without counting as links. An empty table gives no rows;
-    other columns are ignored. ``recall`` is the least chance of finding a
-    pair at the threshold; found pairs are verified on whole sets, and a found
-    pair's likelihood test allows ``slack`` (over three deviations).
+    share a class without counting as links. ``kept`` holds for the rows of
+    the class's first document: least doc_id, null ids last, ties by tid.
+    Null ids take part like others; a class without any other id has a null
+    class_id. An empty table gives no rows; other columns are ignored.
+    ``recall`` is the least chance of finding a pair at the threshold; found
+    pairs are verified on whole sets, and a found pair's likelihood test
+    allows ``slack`` (over three deviations).
     """
     told = write_table(sketch(docs), "sketches")
-    sets = told.groupBy("sid", "tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = told.groupBy("sid", "tid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")
     sets = sets.groupBy("sid").agg(
-        F.min("doc_id").alias("least"), F.count("*").cast("int").alias("texts"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        F.min(first).alias("least"), F.count("*").cast("int").alias("texts"), F.sum("rows").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
     sets = write_table(sets, "sets")
     some = sets.where("sid <> 0").select("sid", "n", "texts", "sig")
-    nodes = leaves(some, similarity, recall)
+    nodes = all_leaves(some, similarity, recall)
     found = write_table(nodes, "nodes")
     drop_table(nodes)
     own = found.groupBy("sid").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a few per run
@@ -251,19 +276,20 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     shape = rows.schema
     wanted = write_table(rows.mapInPandas(probe, shape), "likely")
     drop_table(found)
-    needed = wanted.select("sid").distinct().join(sets.select("sid", "least"), "sid").select("sid", F.col("least").alias("doc_id"))
+    needed = wanted.select("sid").distinct().join(sets.select("sid", "least"), "sid").select("least.doc_id", "least.tid")
     needed = write_table(needed, "needed")
 
-    def whole(batches):
-        import xxhash
-
+    def make():
         hasher = WordHasher()
-        for pdf in batches:
-            got = [shingle_set(t, hasher) for t in pdf["text"]]
-            yield pd.DataFrame({"sid": [(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 or 1) if len(s) else 0 for s in got], "items": [s.tobytes() for s in got]})
 
-    texts = docs.select("doc_id", "text").join(sized(needed.select("doc_id"), 16), "doc_id", "left_semi")
-    items = texts.mapInPandas(whole, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
+        def of(batch):
+            got = [shingle_set(t, hasher) for t in batch["text"].to_pylist()]
+            return {"sid": [set_key(s) for s in got], "items": [s.tobytes() for s in got]}
+
+        return of
+
+    texts = row_join(docs.select("doc_id", "text"), sized(needed, 32), "left_semi").select("text")
+    items = map_batches(texts, make, "sid long, items binary").groupBy("sid").agg(F.first("items").alias("items"))
     rows = wanted.join(items, "sid").repartition(parts, *_TILE).sortWithinPartitions(*_TILE)
 
     def verified(batches):
@@ -297,14 +323,29 @@ def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack
     comp = components(joined.select("u", "v"))
     counts = joined.groupBy("u").agg(F.sum("links").alias("links"))
     named = sets.join(comp, sets.sid == comp.node, "left").join(counts, sets.sid == counts.u, "left")
-    named = named.select("sid", F.coalesce("root", "sid").alias("root"), "least", "texts", F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.select("sid", F.coalesce("root", "sid").alias("root"), "least", "texts", "rows", F.coalesce("links", F.lit(0)).alias("links"))
     named = write_table(named, "named")
     drop_table(sets, wanted, needed, joined, comp)
-    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(least, "root").select(
-        "sid", "class_id", F.when(F.col("sid") == 0, F.lit(0)).otherwise(F.col("links") + F.col("texts") - 1).cast("long").alias("n_links")
-    )
-    return told.select("doc_id", "sid").join(named, "sid").select("doc_id", "class_id", "n_links")
+    roots = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("size"))
+    roots = write_table(roots, "class-firsts")
+    named = join_unique(named, roots, "root", "size", named.count())
+    n_links = F.when(F.col("sid") == 0, F.lit(0)).otherwise(F.col("links") + F.col("texts") - 1).cast("long")
+    named = write_table(named.select("sid", "first", "rows", n_links.alias("n_links")), "set-classes")
+    out = join_unique(told.select("doc_id", "sid", "tid"), named, "sid", "rows", told.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid"))
+    return out.select("doc_id", "tid", F.col("first.doc_id").alias("class_id"), "n_links", kept.alias("kept"))
+
+
+def row_join(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of rows by doc_id, null ids too, and the key of their text; ``keys`` has doc_id and tid."""
+    keys = keys.select(F.col("doc_id").alias("a"), F.col("tid").alias("b"))
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["a"]) & (key == keys["b"]), how)
+
+
+def links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, slack: float = 0.18) -> DataFrame:
+    """doc_id, class_id and n_links of every document, see :func:`classes`."""
+    return classes(docs, similarity, recall, slack).select("doc_id", "class_id", "n_links")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,16 +354,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the least doc_id of each class stays, all columns kept.
+    """Pipeline stage: the first row of each near-duplicate class stays, all columns kept.
 
-    Rows without a doc_id stay. A row repeated with the same doc_id stays once.
+    First is the least doc_id, null ids last, then the least hash of the
+    text. Decisions are taken by row (doc_id and text): of several texts with
+    one doc_id only the copies go, and rows with a null doc_id are compared
+    like others. Rows with the same doc_id and text are one document; any one
+    of them stays.
     """
-    told = write_table(links(docs).where("doc_id is not null"), "classes")
-    gone = told.where("doc_id <> class_id").select("doc_id").distinct()
-    twice = told.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone, twice = write_table(gone, "copies"), write_table(twice, "repeated")
-    once = docs.join(sized(gone.unionByName(twice), 16), "doc_id", "left_anti").select(docs.columns)
+    told = classes(docs).groupBy("doc_id", "tid").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    told = write_table(told.where("not kept or n > 1"), "copies")
+    once = row_join(docs, sized(told, 32), "left_anti").select(docs.columns)
+    twice = told.where("kept").select("doc_id", "tid")
     if twice.isEmpty():
         return once
-    again = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return once.unionByName(again)
+    again = row_join(docs, sized(twice, 32), "left_semi")
+    key = fresh(docs, "tid")
+    again = again.withColumn(key, text_key()).dropDuplicates(["doc_id", key]).select(docs.columns)
+    return once.union(again)

@@ -10,23 +10,34 @@ predictions to reject.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import fold, table
+from talus.llm.common import fold, map_batches, table
 
 BUCKETS = 1 << 13
 GRAMS = (1, 2, 3, 4)
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(1)
+def _not_letters() -> re.Pattern:
+    """Runs of characters that are neither letters nor marks of letters (general categories L and M)."""
+    kept = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    edge = np.flatnonzero(np.diff(np.r_[False, kept, False]))
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2)) + "]+")
 
 
 def letters(text: str | None) -> str:
-    """Lower-cased letters, each run of anything else one blank; "" if no letter."""
-    return _NOT_LETTERS.sub(" ", text or "").strip().lower()
+    """Lower-cased letters with their marks, each run of anything else one blank; "" if no letter."""
+    clean = _not_letters().sub(" ", text or "").strip().lower()
+    return clean if any(map(str.isalpha, clean)) else ""
 
 
 def subwords(clean: str) -> np.ndarray:
@@ -123,15 +134,16 @@ def train(
 
 
 def sample_rows(rows: DataFrame, max_train_docs: int, snippets: int = 3) -> tuple[list, np.ndarray, list[str]]:
-    """Subword counts of a bounded hash sample of (doc_id, text, lang), whole texts and short snippets.
+    """Subword counts of a bounded hash sample of (text, lang), whole texts and short snippets.
 
-    Up to ``max_train_docs`` documents: those with the least hashes of their
-    ids and texts.
+    At most ``max_train_docs`` different texts: those with the least hashes,
+    each once per language given for it. Repeated rows do not count again.
     """
-    key = F.xxhash64("doc_id", "text")
-    n = max(1, rows.count())
-    share = min(1.0, 1.25 * max_train_docs / n)
-    rows = rows.where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.withColumn("key", F.xxhash64("text", "lang"))
+    n = max(1, rows.agg(F.approx_count_distinct("key")).first()[0])
+    share = min(1.0, 1.5 * max_train_docs / n)
+    rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.groupBy("key").agg(F.first("text").alias("text"), F.first("lang").alias("lang")).orderBy("key").limit(max_train_docs)
 
     def run(batches):
         for pdf in batches:
@@ -162,7 +174,7 @@ def sample_rows(rows: DataFrame, max_train_docs: int, snippets: int = 3) -> tupl
 
 
 def fit(rows: DataFrame, max_train_docs: int = 2500) -> LanguageModel:
-    """Train on a bounded sample of rows (doc_id, text, lang not null)."""
+    """Train on a bounded sample of rows (text, lang not null); the driver's work does not grow with the input."""
     pairs, labels, langs = sample_rows(rows.where("lang is not null"), max_train_docs)
     if not pairs:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
@@ -173,12 +185,15 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score, accepted for every whole text.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
-    was learned; ``accepted`` is false below the calibrated threshold.
+    was learned; ``accepted`` is false below the calibrated threshold. Texts
+    of any length are read whole; null ids are kept; repeated rows are
+    predicted as often as they occur; an empty table gives no rows; other
+    columns are ignored.
     """
 
-    def run(batches):
-        for pdf in batches:
-            clean = [letters(t) for t in pdf["text"]]
+    def make():
+        def of(batch):
+            clean = [letters(t) for t in batch["text"].to_pylist()]
             pred, score = ["und"] * len(clean), np.zeros(len(clean))
             have = [i for i, c in enumerate(clean) if c] if model.langs else []
             for j in range(0, len(have), 256):
@@ -188,14 +203,17 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 score[at] = np.minimum(p.max(1), 1.0)
                 for i, k in zip(at, p.argmax(1)):
                     pred[i] = model.langs[k]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": pred, "score": score, "accepted": (score >= model.threshold) & (score > 0)})
+            return {"doc_id": batch["doc_id"], "lang_pred": pred, "score": score, "accepted": (score >= model.threshold) & (score > 0)}
+
+        return of
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, make, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every document's language; learn where the fold remainder (of 3) is not 1."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
-    model = fit(docs.where(~held).select("doc_id", "text", "lang"))
+    model = fit(docs.where(~held).select("text", "lang"))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")

@@ -10,18 +10,18 @@ anywhere by arithmetic alone.
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_BYTES, mix64, table, write_table
-from talus.llm.jaccard import grouped
+from talus.llm.common import BROADCAST_BYTES, arrow_schema, mix64, parts_for, scratch_dir, slices, table, write_table
 
-#: Byte-level BPE ranks; None gives one token per byte.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that goes with these ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN = 512
@@ -29,14 +29,14 @@ RECORDS = 4096
 BATCH = 256  # documents that a task returns at a time
 WIDTH = 2  # bytes of a token: little-endian, unsigned
 SHARD_SCHEMA = (
-    "shard long, first_slot long, records int, stride int, payload binary,"
+    "order_id long, shard long, first_slot long, records int, stride int, payload binary,"
     " doc_ids array<long>, seq_nos array<int>, n_tokens array<int>"
 )
 
 
 @lru_cache(1)
 def encoder(path: str | None):
-    """(function from text to token ids, id of the end token)."""
+    """(function from text to token ids, id of the end token) for a file of byte-level BPE ranks; None: a token per byte."""
     if path is None:
         return (lambda text: np.frombuffer(text.encode("utf-8", "replace"), np.uint8)), 256
     import tiktoken
@@ -68,18 +68,20 @@ def tokenised(docs: DataFrame, path: str | None) -> DataFrame:
 
     def run(batches):
         encode, end = encoder(path)
-        for pdf in batches:
-            for k in range(0, len(pdf), BATCH):
-                part = pdf.iloc[k : k + BATCH]
-                tokens = [np.append(np.asarray(encode(x or ""), np.uint16), np.uint16(end)).tobytes() for x in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "t": part["t"], "tokens": tokens, "n": [len(x) // WIDTH for x in tokens]})
+        for batch in batches:
+            for k in range(0, batch.num_rows, BATCH):
+                part = batch.slice(k, BATCH)
+                tokens = [np.append(np.asarray(encode(x or ""), np.uint16), np.uint16(end)).tobytes() for x in part["text"].to_pylist()]
+                columns = {"doc_id": part["doc_id"], "t": part["t"], "tokens": tokens, "n": [len(x) // WIDTH for x in tokens]}
+                yield pa.RecordBatch.from_pydict(columns, arrow_schema(shape))
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return rows.mapInPandas(run, "doc_id long, t long, tokens binary, n long")
+    shape = "doc_id long, t long, tokens binary, n long"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, shape)
 
 
-def first_numbers(rows: DataFrame, order: list[str], weight: str, parts: int) -> tuple[DataFrame, int]:
-    """Running totals of ``weight`` in a total order: (rows with ``first``, grand total).
+def first_numbers(rows: DataFrame, order: list[str], weight: str, key: str) -> tuple[DataFrame, int]:
+    """Running totals of ``weight`` in a total order: (rows of ``key``, ``weight`` and ``first``; grand total).
 
     Range partitions sum up alone; only one total per partition reaches the driver.
     """
@@ -91,7 +93,8 @@ def first_numbers(rows: DataFrame, order: list[str], weight: str, parts: int) ->
             yield pdf.assign(first=sums - pdf[weight] + total)
             total += int(sums.iloc[-1]) if len(sums) else 0
 
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = parts_for(rows.count(), 64)
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(key, weight, F.spark_partition_id().alias("part"))
     shape = ", ".join(f"{c} {k}" for c, k in ranged.dtypes) + ", first long"
     local = write_table(ranged.mapInPandas(run, shape), "numbers")
     totals = local.groupBy("part").agg(F.sum(weight)).collect()
@@ -109,27 +112,34 @@ def first_numbers(rows: DataFrame, order: list[str], weight: str, parts: int) ->
 def shards(
     docs: DataFrame,
     key: int = 20_240_917,
-    tokenizer: str | None = TOKENIZER,
+    tokenizer: str | None = None,
     seq_len: int = SEQ_LEN,
     records: int = RECORDS,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """One row per shard of the training order, see SHARD_SCHEMA.
 
     Record r of shard s is slot s * records + r; it holds seq_len tokens of
     two bytes, padded with end tokens; doc_ids, seq_nos and n_tokens tell
     where a record came from and how many of its tokens are real. Sequences
-    are numbered by doc_id, then a hash of the text, then place in the text,
-    so that the order depends on the rows and the key alone (repeated rows
-    are alike and take neighbouring numbers). A null or empty text is one end
-    token; long texts are cut into sequences and nothing is dropped. An empty
-    table gives no shards; other columns are ignored.
+    are numbered by doc_id (nulls first), then a hash of the text, then place
+    in the text, so that the order depends on the rows and the key alone
+    (repeated rows are alike and take neighbouring numbers). A null or empty
+    text is one end token; long texts are cut into sequences and nothing is
+    dropped. An empty table gives no shards; other columns are ignored.
+    ``tokenizer`` is a file of byte-level BPE ranks that all executors can
+    read; None gives a token per byte. ``done`` are shards made before, which
+    are left out; they must be of the same order (rows, key, tokenizer and
+    sizes), or a ValueError is raised.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stride = seq_len * WIDTH
     rows = tokenised(docs, tokenizer).withColumn("rid", F.monotonically_increasing_id())
     rows = write_table(rows.withColumn("n_seq", F.ceil(F.col("n") / seq_len)), "tokens")
-    numbers, total = first_numbers(rows.select("rid", "doc_id", "t", "n_seq"), ["doc_id", "t", "rid"], "n_seq", parts)
+    numbers, total = first_numbers(rows.select("rid", "doc_id", "t", "n_seq"), ["doc_id", "t", "rid"], "n_seq", "rid")
+    content = rows.agg(F.sum(F.xxhash64("doc_id", "t", "n").cast("decimal(38,0)"))).first()[0]
+    order_id = xxhash.xxh3_64_intdigest(repr((key, tokenizer, seq_len, records, total, content)).encode()) >> 1
+    if done is not None and not done.where(F.col("order_id") != order_id).isEmpty():
+        raise ValueError("the shards made before are of another order: rows, key, tokenizer or sizes differ")
 
     def permute(batches):
         for pdf in batches:
@@ -140,32 +150,35 @@ def shards(
             yield pd.DataFrame({"rid": pdf["rid"], "slots": [s.tolist() for s in slots]})
 
     slots = write_table(numbers.select("rid", "first", "n_seq").mapInPandas(permute, "rid long, slots array<long>"), "slots")
-    if 32 * slots.count() + 8 * total <= BROADCAST_BYTES:
+    if 128 * slots.count() + 16 * total <= BROADCAST_BYTES:
         slots = F.broadcast(slots)
     placed = rows.join(slots, "rid").select("doc_id", "tokens", "n", F.posexplode("slots").alias("seq_no", "slot"))
     placed = placed.select(
         "slot",
-        "doc_id",
+        F.col("doc_id").cast("string").alias("doc_id"),  # exact beside nulls
         "seq_no",
         F.least(F.lit(seq_len), F.col("n") - F.col("seq_no") * seq_len).cast("int").alias("n_tokens"),
         F.expr(f"substring(tokens, seq_no * {stride} + 1, {stride})").alias("record"),
     )
     placed = placed.withColumn("shard", F.floor(F.col("slot") / records))
-    placed = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    if done is not None:
+        placed = placed.join(F.broadcast(done.select("shard").distinct()), "shard", "left_anti")  # 8 bytes for each ``records`` sequences
+    placed = placed.repartitionByRange(parts_for(total, stride), "shard").sortWithinPartitions("slot")
     end = encoder(tokenizer)[1]
 
     def write(batches):
         pad = np.uint16(end).tobytes()
-        for g in grouped(batches, ["shard"]):
+        for g in slices(batches, ["shard"]):
             payload = b"".join(r + pad * ((stride - len(r)) // WIDTH) for r in g["record"])
             yield pd.DataFrame(
                 {
-                    "shard": [int(g["shard"].iloc[0])],
-                    "first_slot": [int(g["slot"].iloc[0])],
-                    "records": [len(g)],
+                    "order_id": [order_id],
+                    "shard": [int(g["shard"][0])],
+                    "first_slot": [int(g["slot"][0])],
+                    "records": [len(g["slot"])],
                     "stride": [stride],
                     "payload": [payload],
-                    "doc_ids": [[None if pd.isna(d) else int(d) for d in g["doc_id"]]],
+                    "doc_ids": [[None if d is None else int(d) for d in g["doc_id"]]],
                     "seq_nos": [g["seq_no"].tolist()],
                     "n_tokens": [g["n_tokens"].tolist()],
                 }
@@ -174,14 +187,18 @@ def shards(
     return placed.mapInPandas(write, SHARD_SCHEMA)
 
 
-def write_shards(made: DataFrame, path: str) -> None:
-    """Write the shards that ``path`` does not hold yet: a stopped run is taken up where it ended."""
-    spark = made.sparkSession
+def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
+    """Write the shards that ``path`` does not hold yet and read all of them; ``how`` as for :func:`shards`.
+
+    A stopped run is taken up after the last job that was committed; shards
+    of another order in ``path`` raise a ValueError and nothing is written.
+    """
+    spark = docs.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        have = spark.read.schema(SHARD_SCHEMA).parquet(path).select("shard")
-        made = made.join(have, "shard", "left_anti").select(made.columns)
-    made.write.mode("append").parquet(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    done = spark.read.schema(SHARD_SCHEMA).parquet(path).select("order_id", "shard") if there else None
+    shards(docs, done=done, **how).write.mode("append").parquet(path)
+    return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
 def records_of(made: DataFrame) -> DataFrame:
@@ -205,6 +222,11 @@ def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS)
     return spark.read.schema(SHARD_SCHEMA).parquet(path).where(F.col("shard") >= slot // records).orderBy("shard")
 
 
-def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of the shards of all documents in training order."""
-    return records_of(shards(table(spark, sf_dir, "documents")))
+#: The tokenizer of the registered query.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """The records of the shards of all documents in training order, from shards written to the scratch folder."""
+    path = f"{scratch_dir(spark)}/talus/shards-{uuid.uuid4().hex}"
+    return records_of(write_shards(table(spark, sf_dir, "documents"), path, tokenizer=tokenizer))

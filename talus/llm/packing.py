@@ -11,11 +11,12 @@ more groups, not larger ones.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import table, word_count
+from talus.llm.common import arrow_schema, table, word_count
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, piece int, length int, bin_id long, capacity int, offset int"
@@ -69,37 +70,45 @@ def pack(
     capacity (of the bin after downsizing), offset (in the bin). A row longer
     than the largest capacity is cut into pieces of that capacity and a rest;
     nothing is dropped. Null or non-positive lengths count as 1 (the end
-    token alone). Repeated rows are packed as often as they occur; ties are
-    taken by doc_id, then piece. An empty table gives no rows; other columns
-    are ignored. ``group_rows`` bounds the pieces of one task's group on
-    average, whatever the input's size.
+    token alone); null ids are kept. Repeated rows are packed as often as they
+    occur and are spread over the groups like all others; ties are taken by
+    doc_id, then piece. An empty table gives no rows; other columns are
+    ignored. ``group_rows`` is the number of pieces of one task's group
+    (groups are dealt by hash, so it holds up to chance), whatever the
+    input's size, the lengths and the repeated rows. ``items`` must come from
+    files, not from a shuffle, so that a lost task deals its rows alike again.
     """
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
     length = F.greatest(F.coalesce(F.col("length"), F.lit(1)), F.lit(1)).cast("long")
-    rows = items.select("doc_id", length.alias("total"))
-    groups = max(1, -(-items.count() // group_rows))
-    pieces = rows.select(
-        "doc_id",
-        "total",
-        F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / top).cast("int"))).alias("piece"),
-    ).select(
+    last = F.floor((length - 1) / top)
+    n_pieces = items.agg(F.sum(last + 1)).first()[0] or 0
+    groups = max(1, -(-n_pieces // group_rows))
+    rows = items.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("total"), F.monotonically_increasing_id().alias("row"))
+    pieces = rows.select("doc_id", "total", "row", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / top).cast("int"))).alias("piece")).select(
         "doc_id",
         "piece",
         F.least(F.lit(top), F.col("total") - F.col("piece") * top).cast("int").alias("length"),
-        F.pmod(F.xxhash64("doc_id", "piece", "total"), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).alias("grp"),
     )
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])
-        bins, sizes = pack_group(pdf["length"].tolist(), capacities, attention)
-        pdf["bin_id"] = bins
-        pdf["capacity"] = [sizes[b] for b in bins]
-        pdf["offset"] = pdf.groupby("bin_id")["length"].cumsum() - pdf["length"]
-        pdf["bin_id"] += int(pdf["grp"].iloc[0]) << 32
-        return pdf[["doc_id", "piece", "length", "bin_id", "capacity", "offset"]]
-
-    return pieces.groupBy("grp").applyInPandas(group, SCHEMA)
+    schema = arrow_schema(SCHEMA)
+
+    def group(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        length = rows["length"].to_pylist()
+        bins, sizes = pack_group(length, capacities, attention)
+        used, offset = [0] * len(sizes), []
+        for b, n in zip(bins, length):
+            offset.append(used[b])
+            used[b] += n
+        first = rows["grp"][0].as_py() << 32
+        columns = {
+            "doc_id": rows["doc_id"], "piece": rows["piece"], "length": rows["length"],
+            "bin_id": [first + b for b in bins], "capacity": [sizes[b] for b in bins], "offset": offset,
+        }
+        return pa.table(columns, schema=schema)
+
+    return pieces.groupBy("grp").applyInArrow(group, SCHEMA)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import WordHasher, fold, shingles, table, words_of, write_table
+from talus.llm.common import WordHasher, fold, map_batches, shingles, table, words_of, write_table
 
 N_STATS = 20
-FEATURE_SCHEMA = "doc_id long, x array<double>"
+#: Labelled rows that a fit takes at most.
+MAX_TRAIN_ROWS = 100_000
 
 
 def _classes() -> np.ndarray:
@@ -67,17 +68,6 @@ def statistics(text: str | None, hasher: WordHasher) -> list[float]:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and statistics of every whole text."""
-
-    def run(batches):
-        hasher = WordHasher()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t, hasher) for t in pdf["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, FEATURE_SCHEMA)
-
-
 @dataclass
 class QualityModel:
     mean: np.ndarray
@@ -113,8 +103,8 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return b[:, 2] / b[:, 1], b[:, 0] / b[:, 1]
 
 
-def _summed(rows: DataFrame, part, tasks: int) -> np.ndarray:
-    """Sum an array over ``tasks`` partitions of (x, y) rows; ``part`` maps a batch to its share."""
+def _summed(rows: DataFrame, part) -> np.ndarray:
+    """Sum an array over the partitions of (x, y) rows; ``part`` maps a batch to its share."""
 
     def run(batches):
         total = None
@@ -125,35 +115,57 @@ def _summed(rows: DataFrame, part, tasks: int) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"s": [np.ascontiguousarray(total).tobytes()]})
 
-    got = [np.frombuffer(r.s) for r in rows.coalesce(tasks).mapInPandas(run, "s binary").collect()]
+    got = [np.frombuffer(r.s) for r in rows.mapInPandas(run, "s binary").collect()]
     return np.sum(got, axis=0) if got else np.zeros(0)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, held_out: int | None = None) -> DataFrame:
+    """(x, y, h) of labelled documents, at most about ``max_rows``: a table that was written once.
+
+    Labels are sampled first, by a hash of their id, and so are small enough
+    to be broadcast; statistics are computed for the documents of the sample
+    only. Equal rows (id and text) count once, so that repeated rows neither
+    outgrow the bound nor weigh more. If one id has very many texts, a second
+    sample by a hash of id and text keeps the bound. Null ids and labels are
+    skipped; several labels of a document are averaged; documents with fold
+    remainder (of ``held_out``) 0 stay out.
+    """
+    labels = labels.where("doc_id is not null and quality is not null")
+    if held_out is not None:
+        labels = labels.where(fold(F.col("doc_id"), held_out) != 0)
+    labels = labels.groupBy(F.col("doc_id").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    n = labels.count()
+    share = F.pmod(F.xxhash64("id", F.lit("label")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_rows / max(n, 1)))
+    labels = F.broadcast(labels.where(share))  # about max_rows rows of 12 bytes
+    rows = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("id")).select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
+
+    def make():
+        hasher = WordHasher()
+        return lambda batch: {"h": batch["h"], "y": batch["y"], "x": [statistics(t, hasher) for t in batch["text"].to_pylist()]}
+
+    rows = write_table(map_batches(rows, make, "h long, y int, x array<double>"), "labelled")
+    once = rows.groupBy("h").agg(F.first("y").alias("y"), F.first("x").alias("x"))
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    if n > 1.2 * max_rows:
+        once = once.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    return write_table(once, "training-rows")
+
+
 def fit(
-    labelled: DataFrame,
+    rows: DataFrame,
     n_fourier: int = 256,
     ridge: float = 1e-2,
     width: float = 1.0,
-    max_train_rows: int = 200_000,
-    tasks: int = 8,
     seed: int = 7,
 ) -> QualityModel:
-    """Fit on rows (doc_id, x, y in 0/1).
+    """Fit on rows (x, y in 0/1, h) of bounded number, see :func:`training_rows`.
 
-    Beyond ``max_train_rows`` labelled rows, a hash sample of about that many
-    is taken (the bound that keeps the fit's size apart from the corpus). A
-    quarter of the rows calibrates, the rest fits. Without rows the score is
-    0.5; with rows of one class only it is that class.
+    A quarter of the rows, by h, calibrates, the rest fits. Without rows the
+    score is 0.5; with rows of one class only it is that class.
     """
-    n = labelled.count()
-    rows = labelled.select("x", "y", F.xxhash64("doc_id").alias("h")).withColumn("y", F.col("y").cast("double"))
-    if n > max_train_rows:
-        rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < int((1 << 20) * max_train_rows / n))
-    rows = rows.withColumn("calibrate", F.pmod(F.shiftright("h", 24), F.lit(4)) == 0)
+    rows = rows.select("x", F.col("y").cast("double").alias("y"), (F.pmod(F.shiftright("h", 24), F.lit(4)) == 0).alias("calibrate"))
     train = rows.where(~F.col("calibrate"))
-    sums = _summed(
-        train, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), tasks
-    )
+    sums = _summed(train, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]))
     rng = np.random.default_rng(seed)
     model = QualityModel(
         np.zeros(N_STATS),
@@ -175,12 +187,12 @@ def fit(
         z = model.fourier(x)
         return np.concatenate([(z.T @ z).ravel(), z.T @ y])
 
-    got = _summed(train, normal, tasks)
+    got = _summed(train, normal)
     k = n_fourier + 1
     penalty = np.full(k, ridge * m / n_fourier)
     penalty[-1] = 1e-9
     model.weight = np.linalg.solve(got[: k * k].reshape(k, k) + np.diag(penalty), got[k * k :])
-    held = rows.where("calibrate").select("x", "y").toPandas()  # at most a quarter of max_train_rows
+    held = rows.where("calibrate").select("x", "y").toPandas()  # about a quarter of a bounded table
     if len(held):
         model.steps, model.values = isotonic(model.raw(np.vstack(held["x"])), held["y"].to_numpy(float))
     else:
@@ -188,51 +200,52 @@ def fit(
     return model
 
 
-def apply_model(feats: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            score = model.score(np.vstack(pdf["x"])) if len(pdf) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score, "predicted": (score >= threshold).astype("int32")})
+def scored(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
+    """doc_id, score and predicted of every whole text, in one pass."""
 
-    return feats.select("doc_id", "x").mapInPandas(run, "doc_id long, score double, predicted int")
+    def make():
+        hasher = WordHasher()
 
+        def of(batch):
+            x = np.array([statistics(t, hasher) for t in batch["text"].to_pylist()]).reshape(-1, N_STATS)
+            score = model.score(x)
+            return {"doc_id": batch["doc_id"], "score": score, "predicted": (score >= threshold).astype("int32")}
 
-def labelled_rows(feats: DataFrame, labels: DataFrame, held_out: int | None = None) -> DataFrame:
-    """(doc_id, x, y) of labelled documents; those with fold remainder ``held_out`` == 0 stay out.
+        return of
 
-    Null ids and labels are skipped; several labels of a document are averaged.
-    """
-    labels = labels.where("doc_id is not null and quality is not null")
-    labels = labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    rows = feats.join(labels, "doc_id")
-    return rows if held_out is None else rows.where(fold(F.col("doc_id"), held_out) != 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, make, "doc_id long, score double, predicted int")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; learn from labels whose fold remainder (of 5) is not 0.
 
     Null and empty texts get the statistics of an empty text and a score like
-    any other; repeated rows are scored as often as they occur.
+    any other; texts of any length are read whole; null ids are kept;
+    repeated rows are scored as often as they occur; an empty table gives no
+    rows; other columns are ignored.
     """
-    feats = write_table(features(table(spark, sf_dir, "documents")), "quality-features")
-    model = fit(labelled_rows(feats, table(spark, sf_dir, "labels"), 5))
-    scored = apply_model(feats, model, 0.3)
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    docs = table(spark, sf_dir, "documents")
+    model = fit(training_rows(docs, table(spark, sf_dir, "labels"), held_out=5))
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored(docs, model, 0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     """Pipeline stage: documents whose score reaches the threshold, all columns kept.
 
     Statistics, score and filter are computed in one pass over each document
-    row, so that no text is shuffled; labels only train the model.
+    row, so that no text is shuffled; labels only train the model. Null ids
+    and repeated rows are judged by their text like all others.
     """
-    feats = write_table(features(docs), "quality-features")
-    model = fit(labelled_rows(feats, table(spark, sf_dir, "labels")))
+    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    hashers: list[WordHasher] = []
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
-        hasher = WordHasher(50_000)
-        x = np.array([statistics(t, hasher) for t in texts]).reshape(-1, N_STATS)
+        if not hashers:
+            hashers.append(WordHasher())
+        x = np.array([statistics(t, hashers[0]) for t in texts]).reshape(-1, N_STATS)
         return pd.Series(model.score(x) >= threshold)
 
     return docs.where(good(F.col("text")))

@@ -23,7 +23,7 @@ def documents():
         words = ["".join(rng.choices(syll[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(5, 60))]
         text = " ".join(words) if i % 5 else " ".join(w.upper() + "!!" for w in words)
         rows.append((i, text, lang, 0.5, "clash"))
-    return rows + [(900, None, None, None, None), (901, "", "aa", None, None), (902, " 12 !", None, None, None), (903, "balo " * 9000, "aa", None, None), (None, "ti", None, None, None), rows[3]]
+    return rows + [(900, None, None, None, None), (901, "", "aa", None, None), (902, " 12 ½² !", None, None, None), (903, "balo " * 9000, "aa", None, None), (None, "ti", None, None, None), rows[3]]
 
 
 def test_isotonic_is_the_best_monotone_fit():
@@ -38,39 +38,88 @@ def test_isotonic_is_the_best_monotone_fit():
     assert sorted({round(v, 9) for v in want}) == sorted({round(v, 9) for v in values})
 
 
-def test_normal_equations_sum_over_partitions(spark):
+def labelled(n=80):
     rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=quality.N_STATS).tolist(), int(rng.integers(0, 2))) for i in range(80)]
-    df = spark.createDataFrame(rows, "doc_id long, x array<double>, y int")
-    one = quality.fit(df.coalesce(1), n_fourier=16, tasks=1)
-    many = quality.fit(df.repartition(4), n_fourier=16, tasks=4)
+    return [(rng.normal(size=quality.N_STATS).tolist(), int(rng.integers(0, 2)), int(rng.integers(-(2**62), 2**62))) for i in range(n)]
+
+
+def test_normal_equations_sum_over_partitions(spark):
+    rows = labelled()
+    df = spark.createDataFrame(rows, "x array<double>, y int, h long")
+    one = quality.fit(df.coalesce(1), n_fourier=16)
+    many = quality.fit(df.repartition(4), n_fourier=16)
     assert np.allclose(one.weight, many.weight, atol=1e-8)
+    # the same model by one least-squares solution over all rows at once
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    own = np.array([(r[2] >> 24) % 4 != 0 for r in rows])
+    z = one.fourier(x[own])
+    root = np.sqrt(np.append(np.full(16, 1e-2 * own.sum() / 16), 1e-9))
+    want = np.linalg.lstsq(np.vstack([z, np.diag(root)]), np.append(y[own], np.zeros(17)), rcond=None)[0]
+    assert np.allclose(one.weight, want, atol=1e-6)
+    raw = one.fourier(x) @ want
+    steps, values = quality.isotonic(raw[~own], y[~own])
+    assert np.allclose(one.score(x), np.interp(raw, steps, values), atol=1e-4)
 
 
 def test_quality_separates_and_scores_all(spark):
-    docs = spark.createDataFrame(documents(), DOCS)
+    docs = spark.createDataFrame([*documents(), (2**53 + 1, "balo", None, None, None)], DOCS)
     labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(240)] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    feats = quality.features(docs)
-    model = quality.fit(quality.labelled_rows(feats, labels, 5), n_fourier=64)
-    got = quality.apply_model(feats, model, 0.3).collect()
-    assert len(got) == 246 and all(0 <= r.score <= 1 for r in got)
+    model = quality.fit(quality.training_rows(docs, labels, held_out=5), n_fourier=64)
+    got = quality.scored(docs, model, 0.3).collect()
+    assert len(got) == 247 and all(0 <= r.score <= 1 for r in got)
     own = {r.doc_id: r.predicted for r in got}
     assert np.mean([own[i] == int(i % 5 > 0) for i in range(240)]) > 0.95
+    assert 2**53 + 1 in own and None in own
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, f"text {i % 3}") for i in range(600)] + [(2, f"other {i}") for i in range(900)] + [(i, "w") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    assert quality.training_rows(docs, labels).count() == 3 + 900 + 57
+    assert quality.training_rows(docs, labels, max_rows=200).count() < 400
 
 
 def test_quality_edges(spark):
     docs = spark.createDataFrame(documents(), DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int")
-    model = quality.fit(quality.labelled_rows(quality.features(docs), none))
-    assert {r.score for r in quality.apply_model(quality.features(docs), model, 0.3).collect()} == {0.5}
-    assert quality.apply_model(quality.features(docs.limit(0)), model, 0.3).collect() == []
+    model = quality.fit(quality.training_rows(docs, none))
+    assert {r.score for r in quality.scored(docs, model, 0.3).collect()} == {0.5}
+    assert quality.scored(docs.limit(0), model, 0.3).collect() == []
     assert quality.statistics(None, WordHasher()) == quality.statistics("", WordHasher())
 
 
+def test_letters():
+    assert langid.letters("½ ² ① 12 _!") == "" and langid.letters("\u0301 \u0940") == ""
+    assert langid.letters("Ab½cd") == "ab cd" and langid.letters("हिन्दी, भाषा!") == "हिन्दी भाषा"
+
+
+def test_subwords_and_averages_against_plain_counting():
+    for clean in ("a", "ba lo", "été"):
+        raw, want = f" {clean} ".encode(), {}
+        for n in langid.GRAMS:
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for c in raw[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                k = ((h + n) * 0x9E3779B1 & 0xFFFFFFFF) >> 19
+                want[k] = want.get(k, 0) + 1
+        got = langid.subwords(clean)
+        assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == want
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [("same text here", "aa")] * 3000 + [(f"text number {i}", "bb") for i in range(500)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    pairs, labels, langs = langid.sample_rows(df, 100)
+    assert 40 * 4 <= len(pairs) <= 100 * 4 and langs in (["bb"], ["aa", "bb"])
+    assert (labels == langs.index("aa")).sum() <= 4 if "aa" in langs else True
+
+
 def test_languages_held_out(spark):
     docs = spark.createDataFrame(documents(), DOCS)
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
-    model = langid.fit(docs.where(~held))
+    model = langid.fit(docs.where(~held).select("text", "lang"))
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und"
     assert got[903].lang_pred == "aa" and got[None].lang_pred == "aa"
@@ -81,7 +130,7 @@ def test_languages_held_out(spark):
 
 def test_languages_without_training(spark):
     docs = spark.createDataFrame(documents(), DOCS)
-    model = langid.fit(docs.limit(0))
+    model = langid.fit(docs.limit(0).select("text", "lang"))
     assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).collect() == []
 

@@ -34,6 +34,41 @@ def test_bins_hold_everything_once(spark):
     assert sum(r.length for r in rows) / sum(bins.values()) > 0.9
 
 
+def best_fit(lengths, capacities, attention, floor):
+    """Best-fit decreasing by trying every bin; bins are opened at the cheapest capacity from ``floor`` up."""
+    cost = lambda c: c * (1 + c * attention)
+    bins = []
+    for n in lengths:
+        fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fits:
+            min(fits, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+        else:
+            bins.append((min((c for c in capacities if c >= max(n, floor)), key=cost), [n]))
+    return sum(cost(min(c for c in capacities if c >= sum(b[1]))) for b in bins)
+
+
+def test_against_trying_every_bin():
+    rng = random.Random(11)
+    for _ in range(40):
+        lengths = sorted((rng.randint(1, 64) for _ in range(rng.randint(1, 60))), reverse=True)
+        caps, attention = (16, 32, 64), rng.choice([0.0, 0.01])
+        bins, sizes = pack_group(lengths, caps, attention)
+        got = sum(c * (1 + c * attention) for c in sizes)
+        assert abs(got - min(best_fit(lengths, caps, attention, f) for f in caps)) < 1e-9
+
+
+def test_repeated_and_long_rows_are_spread(spark):
+    rows = spark.createDataFrame([(4, 300)] * 1000 + [(None, 5_000_000), (2**53 + 1, 7)], "doc_id long, length long")
+    got = pack(rows, group_rows=100).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.bin_id >> 32] = sizes.get(r.bin_id >> 32, 0) + 1
+    assert len(sizes) > 15 and max(sizes.values()) < 180
+    assert sum(r.length for r in got if r.doc_id == 4) == 300_000
+    assert sum(r.length for r in got if r.doc_id is None) == 5_000_000
+    assert [r.length for r in got if r.doc_id == 2**53 + 1] == [7]
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, length int")).collect() == []
 

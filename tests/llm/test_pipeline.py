@@ -33,10 +33,14 @@ def test_stages_with_odd_rows(spark):
             docs.collect()
 
 
-def test_decontamination_drops_only_leaks(spark):
+def test_decontamination_judges_each_row(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()
-    docs = spark.createDataFrame([(1, f"before {item.text.upper()} after"), (2, "clean text"), (None, "clean too")], "doc_id long, text string").withColumn("item_id", F.lit(0))
-    assert sorted(r.doc_id or 0 for r in drop_contaminated(spark, docs, SF).collect()) == [0, 2]
+    bad = f"before {item.text.upper()} after"
+    rows = [(1, bad), (2, "clean text"), (3, bad), (3, "clean too"), (None, bad), (None, "clean as well"), (2, "clean text"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
+    got = drop_contaminated(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in rows if t != bad)
 
 
 def test_entry_registers_every_operator():

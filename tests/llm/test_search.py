@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def test_neighbours(spark, block):
     rows, x = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, block=block).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, code_block=block, query_block=block // 4).collect():
         got.setdefault(r.query_id, []).append(r)
     ids = np.arange(len(x))
     hits = total = 0
@@ -49,6 +50,33 @@ def test_few_candidates_and_empty(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_repeated_ids_are_rows(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.5, 0.5]), (7, [2.0, 0.0]), (2**53 + 1, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 20).collect())
+    one = [(1, 7, 2.0), (2, 20, 1.0), (3, 20, 0.5), (4, 2**53 + 1, 0.1)]
+    other = [(1, 7, 1.0), (2, 20, 0.5), (3, 20, 0.5), (4, 2**53 + 1, 0.05)]
+    assert got == sorted((20, *r) for r in one + one + other)
+
+
+def test_few_are_reranked():
+    """On sf0.1 under a tenth of the rows survive the bounds, with nearly all of the nearest among them."""
+    x = np.array([r[0] for r in duckdb.sql("select embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchall()])
+    coder = ann.BitCoder(x, x.shape[1])
+    words, near, norm, align = coder.encode(x)
+    q = x[::20]
+    exact = q @ x.T
+    floor = np.sort(exact, axis=1)[:, -21]
+    kept = np.zeros(exact.shape, bool)
+    for c in range(len(coder.centres)):
+        at = np.flatnonzero(near == c)
+        i, j, est = coder.survivors(q, c, words[at], norm[at], align[at], floor)
+        kept[i, at[j]] = True
+        assert np.abs(est - exact[i, at[j]]).max() < 0.2
+    assert kept.mean() < 0.1
+    assert kept[exact >= floor[:, None]].mean() > 0.97
+
+
 def slow_distance(item, text):
     """Least edit distance of an item to any stretch of a text, and its first end."""
     row = list(range(len(item) + 1))
@@ -68,39 +96,82 @@ def test_bit_parallel_distance():
     for _ in range(200):
         item = "".join(rng.choices("abc", k=rng.randint(1, 90)))
         text = "".join(rng.choices("abc", k=rng.randint(0, 120)))
-        assert dc.Myers(item).best(text) == slow_distance(item, text)
+        best = min([(len(item), 0), *dc.Myers(item).ends(text, len(item))])
+        assert best == slow_distance(item, text)
+        whole = [d for d, end in dc.Myers(item).ends(text, 10**6, anchored=True) if end == len(text)]
+        assert whole == ([slow_edit(item, text)] if text else [])
+
+
+def slow_edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def slow_place(item, text, errors):
+    """(distance, end, begin) of the best stretch of whole words of a normalised text, trying all."""
+    if len(item) < dc.SHORT:
+        d = slow_edit(item, text)
+        return (d, len(text), 0) if d <= errors and text else None
+    best = None
+    for a in range(len(text)):
+        if dc.splits_word(text, a):
+            continue
+        row = list(range(len(item) + 1))
+        for b in range(a + 1, min(len(text), a + len(item) + errors) + 1):
+            new = [b - a]
+            for i, d in enumerate(item, 1):
+                new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (text[b - 1] != d)))
+            row = new
+            if row[-1] <= errors and not dc.splits_word(text, b):
+                best = min(best or (99, 0, 0), (row[-1], b, a))
+    return best
 
 
 def test_matches_against_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(8, 30)))) for i in range(12)] + [(50, None), (51, ""), (52, "short one")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 16)))) for i in range(12)] + [(50, None), (51, ""), (52, "short one"), (53, "the"), (None, " ".join(word() for _ in range(9)))]
     docs = []
     for i in range(60):
-        text = " ".join(word() for _ in range(60))
+        text = " ".join(word() for _ in range(20))
         if i % 2:
-            it = list(items[rng.randrange(13) if i % 3 else 14][1] or "x")
-            for _ in range(rng.randint(0, 9)):
+            it = list(items[rng.randrange(13) if i % 3 else 16][1] or "x")
+            for _ in range(rng.randint(0, 6)):
                 it[rng.randrange(len(it))] = rng.choice("abcdefghij ")
-            text = text[:100] + "\n" + "".join(it).upper() + "  " + text[100:]
+            glue = rng.choice(["", " "])
+            text = text[:40] + "\n" + "".join(it).upper() + glue + text[40:]
         docs.append((i, text))
-    docs += [(100, None), (101, ""), docs[1]]
+    docs += [(100, None), (101, ""), docs[1], (102, "Short  onE"), (103, "a short one"), (104, "other THE"), (105, "The"), (2**53 + 1, f"x {items[0][1]} y"), (None, f"x {items[1][1]}, y")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: tuple((x is None, x) for x in r)
     for size in (300, 8 << 20):
-        got = sorted((r.doc_id, r.item_id, r.distance, r.finish) for r in dc.matches(d, b, block_bytes=size).collect())
+        got = sorted(((r.doc_id, r.item_id, r.distance, r.begin, r.finish) for r in dc.matches(d, b, block_bytes=size).collect()), key=key)
         want = []
         for i, t in docs:
             for k, it in items:
                 n, text = dc.normal(it), dc.normal(t)
-                if n:
-                    e, end = slow_distance(n, text)
-                    if e <= int(len(n) * dc.RATE):
-                        want.append((i, k, e, end))
-        assert got == sorted(want)
+                best = slow_place(n, text, int(len(n) * dc.RATE)) if n else None
+                if best:
+                    at = dc.places(t)
+                    want.append((i, k, best[0], at[best[2]], at[best[1] - 1] + 1))
+        assert got == sorted(want, key=key)
+        assert {r[0] for r in got} > {102, 105, 2**53 + 1, None} and not {r[0] for r in got} & {103, 104}
     assert dc.matches(d, b.limit(0)).collect() == [] and dc.matches(d.limit(0), b).collect() == []
 
 
+def test_places_of_normalised_text():
+    for t in ("  A b\n\tC ", "İx ΑΣ  y", "a", ""):
+        at = dc.places(t)
+        assert len(at) == len(dc.normal(t)) and at == sorted(at)
+    assert [" A  bC "[i] for i in dc.places(" A  bC ")] == ["A", " ", "b", "C"]
+
+
 def slow_cut(unary, edges):
     best = None
     for m in range(1 << len(unary)):
