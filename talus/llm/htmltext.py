@@ -1,10 +1,14 @@
 """Operator 9: main text of web pages by minimum-cut labelling.
 
-A page becomes a sequence of text blocks. A linear classifier gives each
-block a cost of being called boilerplate or content; these are the capacities
-to the two terminals. Neighbouring blocks and blocks of one DOM parent or
-grandparent are tied by smoothness edges. The minimum cut is the labelling of
-least total cost.
+A page becomes a sequence of text blocks in a tree of elements. A linear
+classifier over a block's own features (length, sentence marks, share of linked
+text, tag), the page's regions (how much of all text an element holds, whether
+the page has a main part and the block stands in it) and the names of its
+elements gives the cost of calling the block boilerplate rather than content;
+these are the capacities to the two terminals. Neighbouring blocks and blocks
+of one DOM parent or grandparent are tied by smoothness edges, which are of the
+same order as the costs, so that a short or doubtful block goes with its
+surroundings. The minimum cut is the labelling of least total cost.
 """
 
 from __future__ import annotations
@@ -12,279 +16,392 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import table
+from talus.llm.common import map_batches, table
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NONE = re.compile(r"display\s*:\s*none")
 
 # Element names by role.
-RAW = {"script", "style", "textarea", "title", "template", "noscript", "svg", "iframe", "math", "object", "canvas", "select"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "select"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "button", "center", "dd", "details", "dialog", "div", "dl",
     "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header",
-    "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table",
-    "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "hr", "html", "legend", "li", "main", "menu", "nav", "noscript", "object", "ol", "option", "p", "pre", "section",
+    "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 #: A start tag of the key ends an open element of the values.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
-#: Costs (above 0: content) of standing inside an element, of a block's own element, and of words in class, id or role.
+#: Log odds for content (above 0) of standing inside an element.
 REGION = {
-    "nav": -20.0, "menu": -20.0, "aside": -20.0, "footer": -20.0, "form": -20.0, "dialog": -20.0, "head": -40.0,
-    "button": -20.0, "fieldset": -20.0, "header": -9.0, "article": 4.0, "main": 3.0,
+    "nav": -6.0, "menu": -5.0, "aside": -5.0, "footer": -6.0, "form": -4.0, "dialog": -5.0, "head": -30.0, "button": -5.0,
+    "fieldset": -1.0, "header": -4.0, "noscript": -0.5,
 }
+#: Regions that may wrap a whole page: they count only if they hold less than MOST of its text.
+WRAPPERS = {"form", "fieldset", "header", "aside", "dialog", "menu", "noscript"}
+#: Log odds of a block's own element.
 OWN = {
-    "p": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.6, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.3, "figcaption": 0.2,
+    "p": 0.5, "h1": 1.5, "h2": 1.0, "h3": 0.6, "h4": 0.4, "blockquote": 0.5, "pre": 0.5, "li": -0.3, "td": -0.2,
 }
-BAD_HINTS = {
+#: Words that name boilerplate if a class or id is made of them and of layout words only; else they weigh little.
+BOILERPLATE = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
-    "comments", "consent", "cookie", "cookies", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu",
-    "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "pagination", "pager", "popup",
-    "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing",
-    "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar",
-    "widget", "widgets", "complementary", "contentinfo", "announcement", "aside", "copyright", "crumbs", "cta", "disclaimer",
-    "discussion", "feedback", "flash", "ftr", "hdr", "legal", "links", "overlay", "rail", "responses", "side", "skip", "toast",
-    "toc",
+    "comments", "consent", "cookie", "cookies", "discussion", "footer", "gdpr", "header", "login", "masthead", "menu", "modal",
+    "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "pagination", "pager", "popup", "promo",
+    "promotion", "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar",
+    "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget",
+    "widgets", "complementary", "contentinfo", "announcement", "copyright", "disclaimer", "feedback", "overlay", "toast",
+}
+LAYOUT = {
+    "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "form",
+    "group", "holder", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post",
+    "posts", "right", "row", "section", "site", "slot", "text", "thread", "top", "wrap", "wrapper", "policy", "media", "icons",
 }
-GOOD_HINTS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
-NOT_REALLY = {"with", "has", "no", "without", "hide"}
+#: Words that alone say little.
+DOUBTFUL = {"links", "toc", "side", "legal", "rail", "skip", "form", "cta", "aside"}
+GOOD = {"article", "body", "content", "entry", "main", "post", "story", "text"}
+#: Such words in a name say that the rest of it is about something else in the page.
+NEGATING = {"with", "has", "no", "without", "hide"}
+STRONG, WEAK, KIND = -7.0, -0.8, 0.5
 _PHRASE = re.compile(
     r"(?i)^(©|\(c\)\s|copyright\b|all rights reserved|advertisement\b|sponsored\b|subscribe\b|sign (up|in)\b|log in\b"
     r"|share (this|on)\b|we use cookies|accept (all )?cookies|read more\b|leave a (comment|reply)\b)"
 )
-ADJACENT, SAME_PARENT, SAME_GRANDPARENT = 0.4, 1.2, 0.4
+MAIN, OUTSIDE, MOST = 1.5, -4.0, 0.6
+ADJACENT, SAME_PARENT, SAME_GRANDPARENT = 0.4, 0.8, 0.3
 
 
 @dataclass(slots=True)
 class Element:
     tag: str
-    key: int
-    cost: float
+    parent: int  # place in the list of elements; -1: none
+    strong: bool  # a name made of boilerplate words
+    weak: bool  # a name that holds one
+    kind: bool  # a name that speaks for content
     hidden: bool
-    inside: bool  # of article or main
+    chars: int = 0  # of the text below
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    tag: str
-    cost: float
-    inside: bool
+    element: int  # -1: none
     linked: float
-    parent: int
-    grandparent: int
-
-
-def _open(tag: str, attrs: str, key: int, above: Element | None) -> Element:
-    cost, hidden, inside = (above.cost, above.hidden, above.inside) if above else (0.0, False, False)
-    if tag == "header" and inside:
-        cost -= 2.0
-    elif tag in ("article", "main"):
-        cost += 0.0 if inside else REGION[tag]
-        inside = True
-    else:
-        cost += REGION.get(tag, 0.0)
-    if attrs and tag not in ("html", "body"):
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), a or b or c
-            if name in ("class", "id", "role"):
-                for part in value.split():
-                    words = [w.lower() for w in _HINT.findall(part)]
-                    if NOT_REALLY.intersection(words):
-                        continue
-                    if BAD_HINTS.intersection(words):
-                        cost -= 3.0 if tag in ("h1", "h2", "article", "main") or (inside and "header" in words) else 20.0
-                    elif GOOD_HINTS.intersection(words):
-                        cost += 1.0
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                hidden = True
-    return Element(tag, key, cost, hidden, inside)
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, whatever its markup is like."""
-    stack: list[Element] = []
-    out: list[Block] = []
+
+
+def named(tag: str, attrs: str, parent: int) -> Element:
+    out = Element(tag, parent, False, False, False, False)
+    if not attrs or tag in ("html", "body"):
+        return out
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            for part in value.split():
+                words = {w.lower() for w in _WORD.findall(part)}
+                if words & NEGATING:
+                    continue
+                if words & BOILERPLATE:
+                    if words <= BOILERPLATE | LAYOUT:
+                        out.strong = True
+                    else:
+                        out.weak = True
+                elif words & DOUBTFUL:
+                    out.weak = True
+                elif words & GOOD:
+                    out.kind = True
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _NONE.search(value)):
+            out.hidden = True
+    return out
+
+
+class Tags:
+    """Ends of tags, in time proportional to the page whatever its quotes are like."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        self.waste = 4 * len(page) + 1000
+
+    def end(self, at: int) -> int:
+        """Place after the tag that opens at ``at``; a tag that is never closed ends before the next one."""
+        page = self.page
+        if self.last[">"] < at:
+            after = page.find("<", at + 1)
+            return after if after >= 0 else len(page)
+        i = at
+        while self.waste > 0:
+            m = _STOP.search(page, i)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            if self.last[m[0]] <= m.start():
+                i = len(page)
+                break
+            i = page.find(m[0], m.end()) + 1
+            if self.last[">"] < i:
+                break
+        self.waste -= i - at
+        return page.find(">", at) + 1
+
+
+def parsed(page: str) -> tuple[list[Element], list[Block]]:
+    """The elements of a page that make blocks and its text blocks in order, whatever its markup is like."""
+    elements: list[Element] = []
+    blocks: list[Block] = []
+    stack: list[int] = []
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()
     words: list[str] = []
-    linked, total, links, key, at = 0, 0, 0, 0, 0
+    tags, at, end = Tags(page), 0, len(page)
+    link, linked, total = False, 0, 0
 
     def flush() -> None:
         nonlocal linked, total
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
-            if text and not (stack and stack[-1].hidden):
-                near = [e for e in reversed(stack) if e.tag in BLOCKS][:3]
-                top = near[0] if near else Element("", 0, 0.0, False, False)
-                out.append(Block(text, top.tag, top.cost, top.inside, linked / max(total, 1), near[1].key if len(near) > 1 else 0, near[2].key if len(near) > 2 else 0))
+            top = stack[-1] if stack else -1
+            if text and not (top >= 0 and elements[top].hidden):
+                blocks.append(Block(text, top, linked / max(total, 1)))
             words.clear()
         linked = total = 0
 
-    end = len(page)
+    def close(tag: str) -> None:
+        while stack:
+            gone = elements[stack.pop()].tag
+            open_tags[gone] -= 1
+            if gone == tag:
+                return
+
     while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
+        start = page.find("<", at)
+        stop = start if start >= 0 else end
         if stop > at:
-            piece = page[at:stop]
-            words.append(piece)
-            total += len(piece)
-            linked += len(piece) if links else 0
-        if not m:
+            words.append(page[at:stop])
+            total += stop - at
+            linked += stop - at if link else 0
+        if start < 0:
             break
-        at = m.end()
-        if m[2] is None:
+        if page.startswith("<!--", start):
+            after = page.find("-->", start + 4)
+            at = after + 3 if after >= 0 else end
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if page.startswith(("<!", "<?"), start):
+            after = page.find(">", start)
+            at = after + 1 if after >= 0 else end
+            continue
+        m = _NAME.match(page, start)
+        if m is None:
+            words.append("<")
+            at = start + 1
+            continue
+        at = tags.end(start)
+        tag, attrs = m[1].lower(), page[m.end() : at]
+        if page.startswith("</", start):
             if tag == "a":
-                links = max(0, links - 1)
+                link = False
             if tag in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+                link = False
+                if open_tags[tag]:
+                    close(tag)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else (end if tag in ("script", "style") else at)
             words.append(" ")
+            if tag not in unclosed:
+                m = re.compile(f"</{tag}", re.I).search(page, at)
+                if m is None:
+                    unclosed.add(tag)
+                    at = end if tag in ("script", "style") else at
+                else:
+                    at = tags.end(m.start())
             continue
         if tag == "a":
-            links += not m[3].endswith("/")
+            link = True
         if tag == "br":
             words.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
-        if tag == "hr" or m[3].endswith("/"):
+        if tag == "hr" or attrs.endswith("/>"):
             continue
-        links = links if tag != "body" else 0
-        if stack and stack[-1].tag == "p":
-            stack.pop()
-        while stack and stack[-1].tag in CLOSES.get(tag, ()):
-            stack.pop()
-        key += 1
-        stack.append(_open(tag, m[3], key, stack[-1] if stack else None))
+        if stack and elements[stack[-1]].tag == "p":
+            close("p")
+        while stack and elements[stack[-1]].tag in CLOSES.get(tag, ()):
+            close(elements[stack[-1]].tag)
+        parent = stack[-1] if stack else -1
+        e = named(tag, attrs.rstrip(">"), parent)
+        e.hidden |= parent >= 0 and elements[parent].hidden
+        stack.append(len(elements))
+        elements.append(e)
+        open_tags[tag] += 1
     flush()
+    return elements, blocks
+
+
+def costs(elements: list[Element], blocks: list[Block]) -> list[float]:
+    """Classifier: how much more it costs to call each block boilerplate than content (log odds)."""
+    for b in blocks:
+        if b.element >= 0:
+            elements[b.element].chars += len(b.text)
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].chars += e.chars
+    whole = max(1, sum(len(b.text) for b in blocks))
+    below: list[float] = []  # cost of standing in each element
+    inside: list[bool] = []  # of a main part
+    names: list[float] = []  # the share of names in it
+    for e in elements:
+        up = e.parent
+        cost, main, name = (below[up], inside[up], names[up]) if up >= 0 else (0.0, False, 0.0)
+        most = e.chars > MOST * whole
+        if e.tag in ("article", "main"):
+            main = True
+        elif e.tag == "header" and main:
+            cost -= 0.3
+        elif not (most and e.tag in WRAPPERS):
+            cost += REGION.get(e.tag, 0.0)
+        if e.strong:
+            name += WEAK if most or (e.tag == "header" and main) or e.tag in ("h1", "h2") else STRONG
+        elif e.weak:
+            name += WEAK
+        elif e.kind:
+            name += KIND
+        below.append(cost)
+        inside.append(main)
+        names.append(min(1.0, max(-12.0, name)))
+    ruled = sum(len(b.text) for b in blocks if b.element >= 0 and inside[b.element] and below[b.element] > -3) > 0.4 * sum(
+        len(b.text) for b in blocks if b.element < 0 or below[b.element] > -3
+    )
+    out = []
+    for b in blocks:
+        n = b.text.count(" ") + 1
+        s = 0.7 * math.log1p(n) - 1.8 + 0.35 * min(3, sum(map(b.text.count, ".!?;:")))
+        s -= 4.0 * b.linked if b.linked > 0.3 else 0.0
+        main = b.element >= 0 and inside[b.element]
+        if b.element >= 0:
+            s += OWN.get(elements[b.element].tag, 0.0) + below[b.element] + names[b.element]
+        if main:
+            s += MAIN
+        elif ruled:
+            s += OUTSIDE
+        if n < 25 and _PHRASE.match(b.text):
+            s -= 2.0 if main else 4.0
+        out.append(s)
     return out
 
 
-def block_cost(b: Block) -> float:
-    """Classifier: how much more it costs to call the block boilerplate than content."""
-    n = b.text.count(" ") + 1
-    s = b.cost + OWN.get(b.tag, 0.0) + 0.6 * math.log1p(n) - 1.4
-    s += 0.3 * min(4, sum(map(b.text.count, ".!?")))
-    s -= 5.0 * b.linked if b.linked > 0.3 else 0.0
-    if n < 25 and _PHRASE.match(b.text):
-        s -= 3.0 if b.inside else 6.0
-    return s
-
-
 def min_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Labels (True: source side) of the least cut; ``unary`` above 0 ties a node to the source.
 
-    Nodes whose terminal outweighs all their edges are decided at once and
-    passed on to their neighbours (this keeps the cut least); what is left
-    goes through augmenting paths.
+    Flow is pushed from each source node along shortest residual paths to the
+    next node with room to the sink. Nodes from which no such path is left
+    are source side for good, so that a vain search is paid once.
     """
     n = len(unary)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    cap: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), w in edges.items():
-        near[i][j] = near[i].get(j, 0.0) + w
-        near[j][i] = near[j].get(i, 0.0) + w
-    u, label = list(unary), [None] * n
-    todo = list(range(n))
-    while todo:
-        i = todo.pop()
-        if label[i] is not None or abs(u[i]) < sum(near[i].values()):
-            continue
-        label[i] = u[i] > 0
-        for j, w in near[i].items():
-            del near[j][i]
-            u[j] += w if label[i] else -w
-            todo.append(j)
-        near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        source, sink = n, n + 1
-        cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest}
-        cap[source], cap[sink] = {}, {}
-        for i in rest:
-            if u[i] > 0:
-                cap[source][i], cap[i][source] = u[i], 0.0
-            elif u[i] < 0:
-                cap[i][sink], cap[sink][i] = -u[i], 0.0
-        while True:
-            came = {source: source}
-            queue = [source]
+        cap[i][j] = cap[i].get(j, 0.0) + w
+        cap[j][i] = cap[j].get(i, 0.0) + w
+    left, label = list(unary), [False] * n
+    for start in range(n):
+        while left[start] > 1e-9 and not label[start]:
+            came, queue, goal = {start: start}, [start], -1
             for x in queue:
                 for y, c in cap[x].items():
-                    if c > 1e-9 and y not in came:
+                    if c > 1e-9 and y not in came and not label[y]:
                         came[y] = x
                         queue.append(y)
-                if sink in came:
+                        if left[y] < -1e-9:
+                            goal = y
+                            break
+                if goal >= 0:
                     break
-            if sink not in came:
+            if goal < 0:
+                for x in queue:
+                    label[x] = True
                 break
-            path, y = [], sink
-            while y != source:
+            path, y = [], goal
+            while y != start:
                 path.append((came[y], y))
                 y = came[y]
-            f = min(cap[a][b] for a, b in path)
+            f = min(left[start], -left[goal], min(cap[a][b] for a, b in path))
+            left[start] -= f
+            left[goal] += f
             for a, b in path:
                 cap[a][b] -= f
-                cap[b][a] = cap[b].get(a, 0.0) + f
-        for i in rest:
-            label[i] = i in came
+                cap[b][a] += f
     return label
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: content blocks joined by line feeds; "" if there is none."""
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
+def smoothness(elements: list[Element], blocks: list[Block]) -> dict[tuple[int, int], float]:
+    """Edges between neighbouring blocks and between successive blocks of one parent and of one grandparent."""
     edges: dict[tuple[int, int], float] = {}
     seen: dict[tuple[int, int], int] = {}
     for i, b in enumerate(blocks):
         if i:
             edges[i - 1, i] = ADJACENT
-        for level, k, w in ((0, b.parent, SAME_PARENT), (1, b.grandparent, SAME_GRANDPARENT)):
+        own = b.element
+        if own < 0:
+            continue
+        parent = elements[own].parent
+        # text that stands beside elements belongs to the parent of these
+        for level, k, w in ((0, own, SAME_PARENT), (0, parent, SAME_PARENT), (1, elements[parent].parent if parent >= 0 else -1, SAME_GRANDPARENT)):
+            if k < 0:
+                continue
             j = seen.get((level, k))
             if j is not None:
                 edges[j, i] = edges.get((j, i), 0.0) + w
             seen[level, k] = i
-    keep = min_cut([block_cost(b) for b in blocks], edges)
+    return edges
+
+
+def labelled(page: str | None) -> tuple[list[Block], list[float], list[bool]]:
+    """Blocks of a page, their costs and whether the minimum cut makes them content."""
+    elements, blocks = parsed(page or "")
+    unary = costs(elements, blocks)
+    return blocks, unary, min_cut(unary, smoothness(elements, blocks))
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: content blocks joined by line feeds; "" if there is none."""
+    blocks, _, keep = labelled(page)
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page row.
 
-    Null and empty pages give an empty text; repeated rows are extracted as
-    often as they occur; columns besides page_id, url and html are ignored.
+    Left out before any labelling: the contents of script, style, title,
+    template, textarea, select and iframe elements, comments, declarations,
+    and elements that are hidden by attribute; all other text is in a block
+    and is kept or not by the minimum cut. Pages of any length are read whole
+    in linear time, broken markup too: an unclosed quote or tag is markup, not
+    text. Null and empty pages give an empty text; null ids are kept; repeated
+    rows are extracted as often as they occur; an empty table gives no rows;
+    columns besides page_id, url and html are ignored.
     """
 
-    def run(batches):
-        for pdf in batches:
-            text = [main_text(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def make():
+        def of(batch):
+            text = [main_text(h) for h in batch["html"].to_pylist()]
+            return {"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]}
+
+        return of
 
-    return pages.select("page_id", "url", F.col("html")).mapInPandas(run, SCHEMA)
+    return map_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), make, SCHEMA)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
