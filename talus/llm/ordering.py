@@ -197,7 +197,7 @@ def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     done = spark.read.schema(SHARD_SCHEMA).parquet(path).select("order_id", "shard") if there else None
-    shards(docs, done=done, **how).write.mode("append").parquet(path)
+    shards(docs, done=done, **how).write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
