@@ -57,13 +57,13 @@ def url_host(url: Column) -> Column:
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "spm", "fbclid", "gclid")
 
 
-def canonical_url(url: Column) -> Column:
+def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
     """scheme-free link key: lower host without www, path without a last slash, kept parameters in order, no hash."""
     bare = F.regexp_replace(F.split_part(F.trim(F.coalesce(url, F.lit(""))), F.lit("#"), F.lit(1)), r"(?i)^https?://", "")
     path = F.regexp_replace(F.split_part(bare, F.lit("?"), F.lit(1)), r"/+$", "")
     host = F.regexp_replace(F.lower(F.split_part(path, F.lit("/"), F.lit(1))), r"^www\.", "")
     rest = F.regexp_replace(path, r"^[^/]*", "")
-    params = F.filter(F.split(F.split_part(bare, F.lit("?"), F.lit(2)), "&"), lambda p: (p != "") & ~F.split_part(p, F.lit("="), F.lit(1)).isin(*TRACKING))
+    params = F.filter(F.split(F.split_part(bare, F.lit("?"), F.lit(2)), "&"), lambda p: (p != "") & ~F.split_part(p, F.lit("="), F.lit(1)).isin(*tracking))
     return F.concat(host, rest, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(F.lit("")))
 
 

@@ -28,7 +28,7 @@ def eligible(kind: Column, accessory_kinds: tuple[str, ...]) -> Column:
 
 
 def hard_ok(kind: Column, p: Preferences) -> Column:
-    """Constraints that no recommendation may break; an unknown kind fails a wanted one."""
+    """Kinds that are excluded outright; an unknown kind is not. See fullscore.gates for all hard gates."""
     ok = ~F.coalesce(kind.isin(*p.excluded_kinds), F.lit(False)) if p.excluded_kinds else F.lit(True)
     return ok
 

@@ -15,12 +15,13 @@ def fallback_join(items: DataFrame, brands: DataFrame, key: str, name: str) -> D
     A brand name that occurs in several spellings fans out, as in the plain join.
     """
     cols = [c for c in brands.columns if c not in (key, name)]
-    one = brands.select(F.col(key), *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("hit"))
-    two = brands.select(F.lower(name).alias("low"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    one = brands.select(F.col(key), *cols, F.lit(True).alias("_hit"))
     out = items.join(one, key, "left")
-    low = F.when(F.col("hit").isNull() & ~is_blank(F.col(name)), F.lower(name))
-    out = out.withColumn("low", low).join(two, "low", "left")
-    return out.select(*items.columns, *[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in cols])
+    hits = out.where("_hit")
+    misses = out.where("_hit is null").drop("_hit", *cols)  # only these are joined a second time
+    two = brands.select(F.lower(name).alias("_low"), *cols)
+    misses = misses.join(two, (F.lower(misses[name]) == two["_low"]) & ~is_blank(misses[name]), "left")
+    return hits.select(*items.columns, *cols).unionByName(misses.select(*items.columns, *cols))
 
 
 def latest_wins(rows: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
@@ -130,11 +131,6 @@ def repair_scaled(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | (a <= 1), b).when((b > 1) & ratio.between(90, 110), a / 100).otherwise(a)
 
 
-def coalesced(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
-    """Local and remote records by key: remote values override, new records are added."""
-    return keep_filled(local, remote, key)
-
-
 def recovered_name(*candidates: Column) -> Column:
     """First meaningful name of a chain of candidates."""
     return first_filled(*[F.when(~c.rlike(r"(?i)^(untitled|unknown|n/?a|item ?\d*)$"), c) for c in candidates])

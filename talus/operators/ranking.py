@@ -68,8 +68,9 @@ def checked(ranked: DataFrame, top: int, forbidden: list, required: list, label:
     )
 
 
-def confidence(hard_misses: Column, score: Column, gap: Column) -> Column:
-    return F.when((hard_misses >= 2) | (score < 40), "backup").when((hard_misses > 0) | (gap > 0), "conditional").otherwise("high")
+def confidence(hard_misses: Column, score: Column, gap: Column, least: float = 70) -> Column:
+    """Backup for two hard misses or a score under ``least``, conditional for one or any gap, else high."""
+    return F.when((hard_misses >= 2) | (score < least), "backup").when((hard_misses > 0) | (gap > 0), "conditional").otherwise("high")
 
 
 def match_summary(lines: list[tuple[Column, str]], n: int = 4) -> Column:

@@ -66,14 +66,15 @@ def source_score(sources: dict[str, Column], rule: Rule) -> Column:
     return score
 
 
-def classified(sources: dict[str, Column], rules: list[Rule], least: int, default: str) -> Column:
-    """Code of the best score in declared order, or the default below ``least``."""
-    scores = [source_score(sources, r) for r in rules]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    out = F.when(best < least, F.lit(default))
-    for r, s in zip(rules, scores):
-        out = out.when(s == best, F.lit(r.code))
-    return out
+def classified(rows: DataFrame, sources: dict[str, Column], rules: list[Rule], least: int, default: str, kind: str = "kind", best: str = "best") -> DataFrame:
+    """Add the best score and its code, first in declared order, or the default below ``least``.
+
+    The scores are one array, so that each pattern is tried once per row.
+    """
+    codes = F.array(*[F.lit(r.code) for r in rules])
+    rows = rows.withColumn("_scores", F.array(*[source_score(sources, r) for r in rules])).withColumn(best, F.array_max("_scores"))
+    code = F.element_at(codes, F.array_position("_scores", F.col(best)).cast("int"))
+    return rows.withColumn(kind, F.when(F.col(best) < least, F.lit(default)).otherwise(code)).drop("_scores")
 
 
 def stored_wins(stored: Column, inferred: Column, known: tuple[str, ...]) -> Column:

@@ -53,13 +53,13 @@ def cat_full_outer_repair(spark, sf_dir):
     """SELECT p_partkey, l_orderkey, l_linenumber, priority FROM (
       SELECT p_partkey, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS priority,
         row_number() OVER (PARTITION BY p_partkey ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, l_shipdate DESC, l_orderkey, l_linenumber, l_suppkey, l_quantity) AS rn
-      FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size <= 20) WHERE rn = 1"""
+      FROM part JOIN lineitem ON l_partkey = p_partkey) WHERE rn = 1"""
 )
 def cat_priority_match(spark, sf_dir):
     """Best line per part by flag priority, then newest."""
     flag = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
     lines = table(spark, sf_dir, "lineitem").withColumn("priority", flag)
-    probes = table(spark, sf_dir, "part").where("p_size <= 20").select("p_partkey")
+    probes = table(spark, sf_dir, "part").select("p_partkey")
     order = [F.asc("priority"), F.desc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey"), F.asc("l_quantity")]
     out = K.priority_match(probes, lines, F.col("l_partkey") == F.col("p_partkey"), order, ["p_partkey"])
     return out.select("p_partkey", "l_orderkey", "l_linenumber", "priority")
@@ -235,13 +235,13 @@ def ddp_keeper(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS ord, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_returnflag END AS flag, repeat(l_linestatus, CAST(l_quantity AS INTEGER)) AS note,
-      l_partkey, l_suppkey FROM lineitem WHERE l_quantity < 30),
+      l_partkey, l_suppkey FROM lineitem),
     s AS (SELECT *, row_number() OVER (PARTITION BY k, ord ORDER BY l_partkey, l_suppkey) AS d FROM r)
     SELECT k, arg_min(flag, ord) FILTER (WHERE flag IS NOT NULL) AS flag, max({'a': length(note), 'b': -ord}).a AS longest FROM s WHERE d = 1 GROUP BY k"""
 )
 def ddp_merge_fields(spark, sf_dir):
     """First filled and longest values over a group in keeper order."""
-    r = table(spark, sf_dir, "lineitem").where("l_quantity < 30").select(
+    r = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_returnflag")).alias("flag"),
         F.expr("repeat(l_linestatus, CAST(l_quantity AS INT))").alias("note"), "l_partkey", "l_suppkey",
     )
@@ -250,14 +250,15 @@ def ddp_merge_fields(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, left(text, 12) AS k, source = 'src0' AS ph FROM documents),
-    f AS (SELECT k, min(doc_id) AS m FROM d WHERE NOT ph GROUP BY 1)
-    SELECT doc_id, d.k FROM d LEFT JOIN f ON d.k = f.k WHERE ph OR doc_id = m"""
+    """WITH d AS (SELECT doc_id, text, left(text, 12) AS k, source = 'src0' AS ph FROM documents),
+    f AS (SELECT text, min(doc_id) AS m FROM d WHERE NOT ph GROUP BY 1)
+    SELECT doc_id, d.k FROM d LEFT JOIN f ON d.text IS NOT DISTINCT FROM f.text WHERE ph OR doc_id = m"""
 )
 def ddp_keep_first(spark, sf_dir):
-    """First row per key in input order; placeholders stay."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(12)).alias("k"), (F.col("source") == "src0").alias("ph"))
-    return K.keep_first(d, ["k"], "doc_id", F.col("ph")).select("doc_id", "k")
+    """First row per whole text in input order; placeholders stay (W5 P8). Two 64-bit hashes stand for the text in the join."""
+    hashes = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(12)).alias("k"), (F.col("source") == "src0").alias("ph"), *[h.alias(n) for n, h in hashes.items()])
+    return K.keep_first(d, ["h1", "h2"], "doc_id", F.col("ph")).select("doc_id", "k")
 
 
 @query(

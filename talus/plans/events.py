@@ -126,15 +126,16 @@ def vec_related_topk(spark, sf_dir):
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("q", "c", F.round("cos", 6).alias("cos"), "rank")
 
 
-@query(
-    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, ['t' || vec_id % 3, 't' || vec_id % 5, 't' || vec_id % 3] AS tags, vec_id % 9 AS views FROM embeddings),
+def _hybrid_sql(extra: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, ['t' || vec_id % 3, 't' || vec_id % 5, 't' || vec_id % 3] AS tags, vec_id % 9 AS views FROM embeddings),
     q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
     s AS (SELECT q.vec_id AS q, e.vec_id AS c, round(100 * list_cosine_similarity(q.v, e.v) + 8 * len(list_filter(q.tags, lambda x: list_contains(e.tags, x)))
-      + CASE WHEN e.vec_id % 10 = 0 THEN 2 ELSE 0 END + least(e.views, 20) / 20.0::DOUBLE, 6) AS score FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)
+      + {extra}, 6) AS score FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)
     SELECT q, c, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rn FROM s) WHERE rn <= 3"""
-)
-def vec_hybrid_related(spark, sf_dir):
-    """Cosine, tag overlap (repeats on the left count), featured and views in one score (V2 V3 U4)."""
+
+
+def _hybrid(spark, sf_dir, bonus):
+    """Cosine and tag overlap (repeats on the left count) with a bonus of the candidate's own columns."""
     i = F.col("vec_id")
     tag = lambda n: F.concat(F.lit("t"), (i % n).cast("string"))
     e = table(spark, sf_dir, "embeddings").select(
@@ -142,7 +143,19 @@ def vec_hybrid_related(spark, sf_dir):
     )
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("v").alias("qv"), F.col("tags").alias("qt"))
     s = salted(e, q, "vec_id").where("q <> vec_id")
-    score = 100 * X.cosine(F.col("qv"), F.col("v")) + 8 * X.overlap(F.col("qt"), F.col("tags")) + F.when(F.col("featured"), 2).otherwise(0) + F.least("views", F.lit(20)) / 20
+    score = 100 * X.cosine(F.col("qv"), F.col("v")) + 8 * X.overlap(F.col("qt"), F.col("tags")) + bonus
     s = s.select("q", F.col("vec_id").alias("c"), F.round(score, 6).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
+@query(_hybrid_sql("CASE WHEN e.vec_id % 10 = 0 THEN 2 ELSE 0 END + least(e.views, 20) / 20.0::DOUBLE"))
+def vec_hybrid_related(spark, sf_dir):
+    """Cosine, tag overlap, featured and views in one score (V2 U4)."""
+    return _hybrid(spark, sf_dir, F.when(F.col("featured"), 2).otherwise(0) + F.least("views", F.lit(20)) / 20)
+
+
+@query(_hybrid_sql("0"))
+def vec_hybrid_plain(spark, sf_dir):
+    """The same without featured and views (V3)."""
+    return _hybrid(spark, sf_dir, F.lit(0))

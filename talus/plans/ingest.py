@@ -40,7 +40,6 @@ def rec_rule_adjustments(spark, sf_dir):
 def rec_persona_picks(spark, sf_dir):
     """Tuned preferences and boosted candidate scores, the best five."""
     p = A.tuned(WANTED, ["any_brand", "cheaper", "unknown"])
-    assert p.brand is None and p.budget == (0.0, 760.0)
     base = F.when(F.col("kind") == p.kind, int(S.Weights().kind)).otherwise(0)
     rows = items(spark, sf_dir).where(F.col("price") <= p.budget[1] + 200)
     rows = rows.withColumn("persona_score", A.boosted(base, F.col("brand"), {"Brand#7": 5, "Brand#8": 3}))

@@ -166,7 +166,7 @@ def rec_pool_share_preset(spark, sf_dir):
 )
 def rec_confidence_band(spark, sf_dir):
     """Confidence bands of all scored items."""
-    band = R.confidence(F.col("hard_misses"), F.col("score"), F.col("budget_gap")).alias("band")
+    band = R.confidence(F.col("hard_misses"), F.col("score"), F.col("budget_gap"), 40).alias("band")
     return scored(spark, sf_dir).groupBy(band).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions import columns as X
+from talus.operators import matching as M
 from talus.operators import rules as T
 from talus.plans.registry import query, table
 
@@ -79,9 +80,7 @@ def txt_classify_argmax(spark, sf_dir):
     lead = F.lower(F.substring(F.split_part(F.trim("text"), F.lit("\n"), F.lit(1)), 1, 420))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", lead.alias("lead"), F.lower("text").alias("rest"))
     src = {"lead": F.col("lead"), "rest": F.col("rest")}
-    kind = T.classified(src, RULES, 2, "prose")
-    best = F.greatest(*[T.source_score(src, r) for r in RULES])
-    d = d.select("doc_id", "source", best.alias("best"), kind.alias("kind"))
+    d = T.classified(d, src, RULES, 2, "prose")
     return d.select("doc_id", "best", "kind", T.stored_wins(F.col("source"), F.col("kind"), ("src1", "src2")).alias("resolved"))
 
 
@@ -102,52 +101,63 @@ DICE = """list_distinct(list_filter(string_split({0}, ''), lambda c: c <> ''))""
 
 @query(
     rf"""WITH k AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS key FROM part), g AS (SELECT DISTINCT key FROM k),
-    p AS (SELECT a.key AS a, b.key AS b, {DICE.format('a.key')} AS x, {DICE.format('b.key')} AS y FROM g a JOIN g b ON left(a.key, 3) = left(b.key, 3) AND a.key < b.key)
-    SELECT a, b, round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS dice,
-      2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.72 OR (least(length(a), length(b)) >= 6 AND (contains(a, b) OR contains(b, a))) AS mergeable FROM p"""
+    p AS (SELECT a.key AS a, b.key AS b, {DICE.format('a.key')} AS x, {DICE.format('b.key')} AS y FROM g a JOIN g b ON a.key < b.key)
+    SELECT a, b, round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS dice FROM p
+    WHERE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.72 OR (least(length(a), length(b)) >= 6 AND (contains(a, b) OR contains(b, a)))"""
 )
 def txt_name_key_dice(spark, sf_dir):
-    """Name keys, blocked by their first letters, with the character Dice and mergeability."""
-    g = table(spark, sf_dir, "part").select(X.name_key(F.col("p_name")).alias("a")).distinct().withColumn("block", F.left("a", F.lit(3)))
-    p = g.join(g.withColumnRenamed("a", "b"), "block").where("a < b")
-    return p.select("a", "b", F.round(X.char_dice(F.col("a"), F.col("b")), 6).alias("dice"), X.mergeable(F.col("a"), F.col("b")).alias("mergeable"))
+    """All pairs of different name keys that may be merged, with their character Dice.
+
+    Alike keys share most letters, so they meet in the index of the rarest
+    letters that a pair at 0.72 must share one of; a key inside another one
+    shares all of its letters with it.
+    """
+    g = table(spark, sf_dir, "part").select(X.name_key(F.col("p_name")).alias("key")).where("key <> ''").distinct()
+    g = g.withColumn("letters", F.array_distinct(F.filter(F.split("key", ""), lambda c: c != "")))
+    counts = g.select(F.explode("letters").alias("c")).groupBy("c").count()
+    order = F.broadcast(counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "c"))), lambda x: x["c"]).alias("order")))  # one row of an alphabet
+    g = g.join(order, F.lit(True))
+    rare = F.filter("order", lambda c: F.array_contains("letters", c))
+    # sets of sizes x, y with 2n / (x + y) >= 0.72 share n >= 0.36 / 0.64 x letters: one is among the rarest x - n + 1 of either set
+    g = g.select("key", F.explode(F.slice(rare, 1, F.size(rare) - F.ceil(F.size(rare) * (0.72 / (2 - 0.72)) - 1e-9).cast("int") + 1)).alias("c"), F.size(rare).alias("n"), rare.alias("all"))
+    near = g.select(F.col("key").alias("a"), "c").join(g.select(F.col("key").alias("b"), "c"), "c").where("a < b").select("a", "b")
+    short = g.select("key", F.element_at("all", 1).alias("c")).where(F.length("key") >= 6).distinct()  # a contained key's rarest letter is in the longer one
+    whole = g.select(F.col("key").alias("long"), F.explode("all").alias("c")).distinct()
+    inside = short.join(whole, "c").where((F.col("key") != F.col("long")) & F.contains("long", "key"))
+    inside = inside.select(F.least("key", "long").alias("a"), F.greatest("key", "long").alias("b"))
+    pairs = near.union(inside).distinct().where(X.mergeable(F.col("a"), F.col("b")))
+    return pairs.select("a", "b", F.round(X.char_dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
 @query(
     r"""WITH i AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9]{3,})', 1), lambda w: w NOT IN ('the', 'and')))  AS raw, lower(text) AS l FROM benchmark),
     u AS (SELECT item_id, w, min(pos) AS pos FROM (SELECT item_id, unnest(regexp_extract_all(l, '([a-z0-9]{3,})', 1)) AS w, unnest(range(1, 1 + len(regexp_extract_all(l, '([a-z0-9]{3,})', 1)))) AS pos FROM i) WHERE w NOT IN ('the', 'and') GROUP BY 1, 2),
     t AS (SELECT item_id, list(w ORDER BY pos)[1:24] AS tokens FROM u GROUP BY 1),
-    d AS (SELECT doc_id, lower(text) AS l FROM documents WHERE lang = 'es'), s AS (SELECT item_id, doc_id, len(list_filter(tokens, lambda w: contains(l, w))) / CAST(len(tokens) AS DOUBLE) AS score FROM t, d)
+    d AS (SELECT doc_id, lower(text) AS l FROM documents), s AS (SELECT item_id, doc_id, len(list_filter(tokens, lambda w: contains(l, w))) / CAST(len(tokens) AS DOUBLE) AS score FROM t, d)
     SELECT item_id, max(round(score, 6)) AS best, count(*) FILTER (WHERE score >= 0.9) AS n_match, count(*) FILTER (WHERE score < 0.2) AS n_mismatch FROM s GROUP BY 1"""
 )
 def txt_token_recall(spark, sf_dir):
-    """Token recall of every item against all Spanish documents, by status."""
+    """Token recall of every item against all documents, by status."""
     items = table(spark, sf_dir, "benchmark").select("item_id", X.distinctive_tokens(F.col("text"), ("the", "and")).alias("tokens"))
-    docs = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")
-    # a stated query set against all rows, in blocks of items of a counted size
-    blocks = 1 + items.count() // 10_000
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    parts = [docs.crossJoin(F.broadcast(items.where(block == b))) for b in range(blocks)]
-    s = reduce(lambda a, b: a.unionByName(b), parts).withColumn("score", X.recall(F.col("tokens"), F.col("text")))
-    return s.groupBy("item_id").agg(F.max(F.round("score", 6)).alias("best"), F.count_if(F.col("score") >= 0.9).alias("n_match"), F.count_if(F.col("score") < 0.2).alias("n_mismatch"))
+    got = M.token_recall(items, "item_id", "tokens", table(spark, sf_dir, "documents"), "doc_id", "text")
+    return got.withColumn("best", F.round("best", 6))
 
 
 @query(
     rf"""WITH a AS (SELECT DISTINCT p_name AS l, string_split(p_name, ' ') AS w FROM part), c AS (SELECT DISTINCT p_name AS r, string_split(p_name, ' ') AS v FROM part),
-    s AS (SELECT l, r, list_distinct(w) AS w, list_distinct(v) AS v FROM a JOIN c ON w[2] = v[2] AND l <> r),
+    s AS (SELECT l, r, list_distinct(w) AS w, list_distinct(v) AS v FROM a JOIN c ON len(list_intersect(w, v)) > 0 AND l <> r),
     t AS (SELECT l, r, greatest(len(list_intersect(w, v)) / CAST(greatest(len(w), len(v)) AS DOUBLE), 0.72::DOUBLE * len(list_intersect(w, v)) / least(len(w), len(v))) AS score FROM s)
     SELECT l AS name, r AS match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS rn FROM t) WHERE rn = 1 AND score >= 0.42"""
 )
 def match_title_best(spark, sf_dir):
-    """Best other title of the same last word at 0.42 or more."""
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("l")).distinct().withColumn("w", F.split("l", " "))
-    a = n.withColumn("block", F.get("w", F.lit(1)))
-    p = a.join(a.select(F.col("l").alias("r"), F.col("w").alias("v"), "block"), "block").where("l <> r")
+    """Best other title at 0.42 or more; titles meet by any word they share."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("l")).distinct().withColumn("w", F.array_distinct(F.split("l", " ")))
+    p = M.sharing(n, n.select(F.col("l").alias("r"), F.col("w").alias("v")), "w", "v", ("l", "r")).where("l <> r")
     both = F.size(F.array_intersect("w", "v"))
-    x, y = F.size(F.array_distinct("w")), F.size(F.array_distinct("v"))
+    x, y = F.size("w"), F.size("v")
     p = p.withColumn("score", F.greatest(both / F.greatest(x, y), 0.72 * both / F.least(x, y)))
-    best = p.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("score"), "r"))).where("rn = 1 AND score >= 0.42")
-    return best.select(F.col("l").alias("name"), F.col("r").alias("match"), F.round("score", 6).alias("score"))
+    best = p.groupBy("l").agg(F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("b")).where("b.s <= -0.42")
+    return best.select(F.col("l").alias("name"), F.col("b.r").alias("match"), F.round(-F.col("b.s"), 6).alias("score"))
 
 
 @query(

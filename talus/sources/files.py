@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators.catalog import insert_ignore, keep_filled, latest_wins
+from talus.operators.catalog import insert_ignore, latest_wins
 
 #: Columns that every review-buffer entry may have; other fields are ignored.
 BUFFER_SCHEMA = (
@@ -15,13 +15,14 @@ BUFFER_SCHEMA = (
 
 
 def read_buffer(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of JSON-array files; entries that do not parse are dropped, missing fields are null."""
-    rows = spark.read.schema(BUFFER_SCHEMA + ", _bad string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    filled = [F.col(f.split()[0]).isNotNull() for f in BUFFER_SCHEMA.split(", ")]
-    some = filled[0]
-    for f in filled[1:]:
-        some = some | f
-    return rows.where(F.col("_bad").isNull() & some).drop("_bad")
+    """Entries of JSON-array files, each file read whole; an entry that does not parse is dropped alone, missing fields are null.
+
+    A file that is no JSON array at all gives no entries.
+    """
+    texts = spark.read.text(path, wholetext=True)
+    entries = texts.select(F.explode(F.from_json("value", "array<string>")).alias("entry"))
+    rows = entries.select(F.from_json("entry", BUFFER_SCHEMA.replace(" ", ":").replace(",:", ", ").join(("struct<", ">")), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return rows.where(F.coalesce(*[F.col(f.split()[0]).cast("string") for f in BUFFER_SCHEMA.split(", ")]).isNotNull())
 
 
 def write_buffer(rows: DataFrame, path: str) -> None:
@@ -47,19 +48,29 @@ def upsert_latest(target: DataFrame, new: DataFrame, keys: list[str], newest: st
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose key the table does not hold yet (insert or ignore)."""
-    insert_ignore(spark.read.parquet(path), new, keys).select(new.columns).write.mode("append").parquet(path)
+    """Append the rows whose key the table does not hold yet (insert or ignore); the table may not exist. One writer at a time."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = insert_ignore(spark.read.parquet(path), new, keys).select(new.columns)
+    else:
+        new = new.dropDuplicates(keys)
+    new.write.mode("append").parquet(path)
 
 
-def upsert_filled(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return keep_filled(target, new, key)
+def append_events(new: DataFrame, path: str) -> None:
+    """Plain append of event rows."""
+    new.write.mode("append").parquet(path)
 
 
 def content_version(rows: DataFrame) -> str:
-    """SHA-256 over the sorted row hashes of a seed table: equal content, equal version."""
+    """SHA-256 over the number of rows and the sums of their hashes' words: equal content in any order, equal version.
+
+    The sums are combined within the tasks; no rows are brought together.
+    """
     hashed = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("h"))
-    got = hashed.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return got.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256)).first()[0] or ""
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    sums = hashed.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.select(F.when(F.col("n") == 0, "").otherwise(F.sha2(F.concat_ws(",", "n", *[f"w{i}" for i in range(8)]), 256))).first()[0]
 
 
 def seed(spark: SparkSession, rows: DataFrame, path: str, known: str | None) -> str:

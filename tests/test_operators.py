@@ -201,8 +201,8 @@ def test_rules(spark):
     assert got == {("positive", "It is loud.", "d"), ("negative", "Not loud at all!", "d"), ("positive", "loud thing", "n")}
     rules = [T.Rule("a", ("x",), {"t": 3}), T.Rule("b", ("x", "y"), {"t": 3})]
     src = {"t": F.col("t")}
-    rows = spark.createDataFrame([("x",), ("x y",), ("q",), (None,)], "t string").select(T.classified(src, rules, 3, "none").alias("c")).collect()
-    assert [r.c for r in rows] == ["a", "b", "none", "none"]
+    rows = T.classified(spark.createDataFrame([("x",), ("x y",), ("q",), (None,)], "t string"), src, rules, 3, "none").collect()
+    assert [(r.kind, r.best) for r in rows] == [("a", 3), ("b", 6), ("none", 0), ("none", 0)]
 
 
 def test_masks_round_trip(spark):
