@@ -235,17 +235,17 @@ def ddp_keeper(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS ord, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_returnflag END AS flag, repeat(l_linestatus, CAST(l_quantity AS INTEGER)) AS note,
-      l_partkey, l_suppkey FROM lineitem),
-    s AS (SELECT *, row_number() OVER (PARTITION BY k, ord ORDER BY l_partkey, l_suppkey) AS d FROM r)
+      l_partkey, l_suppkey, l_returnflag FROM lineitem),
+    s AS (SELECT *, row_number() OVER (PARTITION BY k, ord ORDER BY l_partkey, l_suppkey, note, l_returnflag) AS d FROM r)
     SELECT k, arg_min(flag, ord) FILTER (WHERE flag IS NOT NULL) AS flag, max({'a': length(note), 'b': -ord}).a AS longest FROM s WHERE d = 1 GROUP BY k"""
 )
 def ddp_merge_fields(spark, sf_dir):
     """First filled and longest values over a group in keeper order."""
     r = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_returnflag")).alias("flag"),
-        F.expr("repeat(l_linestatus, CAST(l_quantity AS INT))").alias("note"), "l_partkey", "l_suppkey",
+        F.expr("repeat(l_linestatus, CAST(l_quantity AS INT))").alias("note"), "l_partkey", "l_suppkey", "l_returnflag",
     )
-    one = K.latest_wins(r, ["k", "ord"], [F.asc("l_partkey"), F.asc("l_suppkey")])
+    one = K.latest_wins(r, ["k", "ord"], [F.asc(c) for c in ("l_partkey", "l_suppkey", "note", "l_returnflag")])
     return K.merged_fields(one, "k", [F.col("ord")], ["flag"], ["note"]).select("k", "flag", F.length("note").alias("longest"))
 
 
