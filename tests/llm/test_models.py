@@ -188,9 +188,9 @@ def slow_score(s, counts, w, depth):
 def test_scores_equal_a_plain_model(spark, block):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["ab", "Abc", "ca", "é"], k=rng.randint(1, 6))), "s") for i in range(12)]
-    rows += [(50, None, "s"), (51, "", "s"), (52, "zz\x0bq", "s"), rows[0]]
+    rows += [(50, None, "s"), (51, "", "s"), (52, "zz\x0bq", "s"), rows[0], (2**53 + 1, "ab", "s"), (None, "ca ab", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    held = {i for i, _, _ in rows if i % 3 == 0}
+    held = {i for i, _, _ in rows if i is not None and i % 3 == 0}
     got = ctw.score(df, F.col("doc_id") % 3 != 0, depth=3, block_bytes=block).collect()
     assert len(got) == len(rows)
     streams = {i: ctw.stream(words_of(t)).astype(int) for i, t, _ in rows}
