@@ -30,12 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder of the cluster; set here only where unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="talus-scratch-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="talus-scratch-"))
+        where = context.getCheckpointDir()
     return where
 
 
