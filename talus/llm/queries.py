@@ -8,6 +8,8 @@ from talus.llm.decontaminate import op4_decontaminate
 from talus.llm.htmltext import op9_html_text
 from talus.llm.jaccard import op5_jaccard_join
 from talus.llm.langid import op10_language_id
+from talus.llm.merkle import ORACLE as OP11
+from talus.llm.merkle import op11_merkle_manifest
 from talus.llm.ordering import op1_training_order
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
@@ -26,7 +28,8 @@ QUERIES = {
         op8_best_fit_packing,
         op9_html_text,
         op10_language_id,
+        op11_merkle_manifest,
     )
 }
 #: Query name -> DuckDB SQL, where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11}
