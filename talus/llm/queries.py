@@ -14,6 +14,8 @@ from talus.llm.ordering import op1_training_order
 from talus.llm.packing import op8_best_fit_packing
 from talus.llm.quality import op7_quality_classifier
 from talus.llm.substring import op2_substring_dedup
+from talus.llm.warc import ORACLE as OP12
+from talus.llm.warc import op12_warc_archive
 
 QUERIES = {
     f.__name__: f
@@ -29,7 +31,8 @@ QUERIES = {
         op9_html_text,
         op10_language_id,
         op11_merkle_manifest,
+        op12_warc_archive,
     )
 }
 #: Query name -> DuckDB SQL, where SQL can express the query.
-ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11, "op12_warc_archive": OP12}
