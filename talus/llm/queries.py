@@ -5,6 +5,8 @@ from __future__ import annotations
 from talus.llm.ann import op6_nearest_neighbours
 from talus.llm.ctw import op3_ctw_score
 from talus.llm.decontaminate import op4_decontaminate
+from talus.llm.divergence import ORACLE as OP13
+from talus.llm.divergence import op13_source_divergence
 from talus.llm.htmltext import op9_html_text
 from talus.llm.jaccard import op5_jaccard_join
 from talus.llm.langid import op10_language_id
@@ -32,7 +34,8 @@ QUERIES = {
         op10_language_id,
         op11_merkle_manifest,
         op12_warc_archive,
+        op13_source_divergence,
     )
 }
 #: Query name -> DuckDB SQL, where SQL can express the query.
-ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11, "op12_warc_archive": OP12}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": OP11, "op12_warc_archive": OP12, "op13_source_divergence": OP13}
