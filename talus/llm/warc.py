@@ -56,7 +56,7 @@ def target(url: str | None, page_id: int | None) -> str:
     """A URL fit for a header: characters that would break the line are percent-encoded; without a URL, a name from the page id."""
     if not url:
         return f"urn:page:{'' if page_id is None else page_id}"
-    return re.sub(r"[\x00-\x20\x7f-\xa0  \x85]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
 def record(page_id: int | None, url: str | None, captured: str, payload: bytes, digest: str, original: str | None) -> bytes:
@@ -361,7 +361,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as read back from its archive, in the merged index (``pos``, URL key, archive, offset and length follow the contract's columns).
+    """Every page as read back from its archive and found in the merged index.
 
     A null html is an empty payload; null ids and URLs are kept (the ids null,
     the URL as a name from the id); repeated rows are records of their own, of
