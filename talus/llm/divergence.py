@@ -2,8 +2,7 @@
 
 Terms are counted where the texts are, per task, and summed by (language,
 source, term). A language keeps the terms of enough of its documents. The kept
-terms are put in UTF-8 order, numbered by range partitions and cut into chunks
-of neighbours. A task gets one chunk: its sorted terms are the dictionary,
+terms are put in UTF-8 order, numbered and cut into chunks of neighbours. A task gets one chunk: its sorted terms are the dictionary,
 ``searchsorted`` turns the terms of the counts into ids, ``bincount`` makes one
 dense vector per source. Ids keep the order of the terms, so ties are broken by
 position. Distances of pairs add up over chunks; the top terms of a source are
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import parts_for, sized, table, write_table
+from talus.llm.common import numbered, sized, table, write_table
 
 #: A language keeps terms of at least this many of its documents.
 MIN_DOCS = 30
@@ -88,17 +87,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def chunked(kept: DataFrame, groups: DataFrame, cells: int) -> DataFrame:
     """``kept`` (lang, term) with ``chunk``: neighbours in UTF-8 order, about ``cells`` / sources of the language in each.
 
-    Terms are dealt into ranges and numbered inside a range of a language; a
-    chunk never crosses a range, and is named by it.
+    Terms are numbered within their language, and the chunks are equal spans
+    of numbers: their borders do not depend on how the work is dealt to tasks.
     """
     width = groups.groupBy("lang").agg(F.count("*").alias("sources"))
-    ranged = kept.repartitionByRange(parts_for(kept.count(), 128), "lang", "term")
-    local = write_table(ranged.withColumn("part", F.spark_partition_id()), "kept")
-    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy("term")) - 1
     widest = groups.agg(F.max(F.octet_length("lang"))).first()[0] or 0
-    each = local.withColumn("place", place).join(sized(width, 64 + widest), "lang")
+    each = numbered(kept.select(F.col("lang").alias("g"), "term"), ["term"], "kept").withColumnRenamed("g", "lang")
+    each = each.join(sized(width, 64 + widest), "lang")
     share = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.col("sources")))
-    return each.select("lang", "term", F.concat_ws("-", "part", F.floor(F.col("place") / share)).alias("chunk"))
+    return each.select("lang", "term", F.floor(F.col("idx") / share).alias("chunk"))
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -168,7 +165,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, cells:
         groups.select("lang", "source", (F.col("n") + SMOOTH * F.col("v")).alias("total"), (whole + SMOOTH * F.col("v")).alias("lang_total")), "groups"
     )
     each = chunks.select("lang", "chunk").distinct()
-    each = groups.join(each, "lang", "left").na.fill("none", ["chunk"])  # a language without kept terms has one empty chunk
+    each = groups.join(each, "lang", "left").na.fill(0, ["chunk"])  # a language without kept terms has one empty chunk
     keys = ["lang", "chunk"]
 
     def run(left, right):

@@ -16,10 +16,10 @@ to the scratch folder, an eighth of the one below, and read from there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_BYTES, fold, parts_for, sized, table, write_table
+from talus.llm.common import BROADCAST_BYTES, fold, numbered, table, write_table
 
 FANOUT = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,29 +42,6 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("v"), group.cast("string")), F.lit(""))
 
 
-def numbered(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
-    """``rows`` with ``idx``, the place within ``g`` by ``order`` from 0, and ``n``, the rows of ``g``.
-
-    Rows are dealt into ranges of (g, order); ``row_number`` runs inside a
-    range and the counts of the ranges before it are added.
-    """
-    keys = ["g", *order]
-    ranged = rows.repartitionByRange(parts_for(rows.count(), 256), *keys)
-    local = write_table(ranged.withColumn("part", F.spark_partition_id()), tag)
-    counts = local.groupBy("g", "part").agg(F.count("*").alias("rows"))
-    of_group = Window.partitionBy("g")
-    counts = counts.select(
-        "g",
-        "part",
-        (F.sum("rows").over(of_group.orderBy("part")) - F.col("rows")).alias("before"),
-        F.sum("rows").over(of_group).alias("n"),
-    )
-    # one row per range and group; a group key of usual length is far below 256 bytes
-    widest = local.agg(F.max(F.octet_length("g"))).first()[0] or 0
-    place = F.row_number().over(Window.partitionBy("g", "part").orderBy(*order)) - 1
-    return local.withColumn("place", place).join(sized(counts, 64 + widest), ["g", "part"]).withColumn("idx", F.col("place") + F.col("before")).drop("part", "place", "before")
-
-
 def runs_of(nodes: DataFrame, fanout: int, *more: str) -> DataFrame:
     """The runs of a level: g, p (number of the parent), n, kids in order, hash of the parent. Groups of one node are done and have none."""
     kids = F.sort_array(F.collect_list(F.struct("idx", "hash", *more)))
