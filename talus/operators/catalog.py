@@ -12,16 +12,21 @@ from talus.functions.columns import first_filled, is_blank
 def fallback_join(items: DataFrame, brands: DataFrame, key: str, name: str) -> DataFrame:
     """Left join by ``key``; where that misses, by lower-case ``name``. Brand columns take the first hit.
 
-    A brand name that occurs in several spellings fans out, as in the plain join.
+    A brand name that occurs in several spellings fans out, as in the plain
+    join. The items are joined once: each row looks for its brand under one
+    of two kinds of keys, the name only if no brand has its key. Rows with
+    neither look for nothing and take no part in the join.
     """
     cols = [c for c in brands.columns if c not in (key, name)]
-    one = brands.select(F.col(key), *cols, F.lit(True).alias("_hit"))
-    out = items.join(one, key, "left")
-    hits = out.where("_hit")
-    misses = out.where("_hit is null").drop("_hit", *cols)  # only these are joined a second time
-    two = brands.select(F.lower(name).alias("_low"), *cols)
-    misses = misses.join(two, (F.lower(misses[name]) == two["_low"]) & ~is_blank(misses[name]), "left")
-    return hits.select(*items.columns, *cols).unionByName(misses.select(*items.columns, *cols))
+    known = brands.select(F.col(key).alias("known_")).where("known_ IS NOT NULL").distinct()
+    tagged = items.join(known, F.col(key) == F.col("known_"), "left")
+    by_key, by_name = F.struct(F.lit(0).alias("kind"), F.col(key).cast("string").alias("key")), F.struct(F.lit(1).alias("kind"), F.lower(name).alias("key"))
+    probe = F.when(F.col("known_").isNotNull(), by_key).when(~is_blank(F.col(name)), by_name)
+    tagged = tagged.select(*items.columns, probe.alias("probe_"))
+    index = brands.select(by_key.alias("probe_"), *cols).unionByName(brands.select(by_name.alias("probe_"), *cols))
+    found = tagged.where("probe_ IS NOT NULL").join(index.where("probe_.key IS NOT NULL"), "probe_", "left")
+    none = tagged.where("probe_ IS NULL").select(*items.columns, *[F.lit(None).cast(brands.schema[c].dataType).alias(c) for c in cols])
+    return found.select(*items.columns, *cols).unionByName(none)
 
 
 def latest_wins(rows: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
@@ -29,9 +34,15 @@ def latest_wins(rows: DataFrame, keys: list[str], newest: list[Column]) -> DataF
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where("rn = 1").drop("rn")
 
 
-def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key the target lacks, one per key."""
-    return new.dropDuplicates(keys).join(target, keys, "left_anti")
+def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new`` whose key the target lacks, the first of each key in ``order`` (default: the other columns)."""
+    rest = [c for c in new.columns if c not in keys]
+    order = [*(order or ()), *[c for c in rest if c not in (order or ())]]
+    if rest:
+        new = new.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first_")).select(*[F.col(c) if c in keys else F.col(f"first_.{c}").alias(c) for c in new.columns])
+    else:
+        new = new.distinct()
+    return new.join(target, keys, "left_anti").select(*new.columns)
 
 
 def keep_filled(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -67,12 +78,15 @@ def duplicate_groups(rows: DataFrame, key: str, score: Column, id_: str) -> Data
     return rows.join(groups, key)
 
 
-def merged_fields(groups: DataFrame, key: str, order: list[Column], first: list[str], longest: list[str]) -> DataFrame:
-    """One row per group: first filled value in keeper order, or the longest text (earlier wins ties)."""
+def merged_fields(groups: DataFrame, key: str, order: list[Column], first: list[str], longest: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per group, of all its rows: first filled value in keeper order, or the longest text (earlier wins ties).
+
+    ``order`` should tell apart any two rows with different values; ``more`` are further aggregates by name.
+    """
     rank = F.struct(*order)
     aggs = [F.min_by(F.col(c), F.when(~is_blank(F.col(c).cast("string")), rank)).alias(c) for c in first]
-    aggs += [F.max_by(F.col(c), F.struct(F.length(c), *[-o for o in order])).alias(c) for c in longest]
-    return groups.groupBy(key).agg(*aggs)
+    aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(-F.length(c), *order))).alias(c) for c in longest]
+    return groups.groupBy(key).agg(*aggs, *[a.alias(n) for n, a in (more or {}).items()])
 
 
 def keep_first(rows: DataFrame, keys: list[str], ordinal: str, placeholder: Column) -> DataFrame:
@@ -105,17 +119,27 @@ def reference_counts(sources: list[DataFrame], id_: str) -> DataFrame:
     return out.groupBy(id_).agg(F.sum("n").alias("refs"))
 
 
-def two_key_match(new: DataFrame, target: DataFrame, id_: str, name: str, brand: str) -> DataFrame:
-    """Match by id, else by lower-case name and brand (least target id), else insert.
+def two_key_match(new: DataFrame, target: DataFrame, id_: str, name: str, brand: str, order: str) -> DataFrame:
+    """Rows of ``new`` with target_order, the ``order`` of the target they match, and matched_by (id, name_brand or insert).
 
-    Returns the rows of ``new`` with target_id and how they matched. Matches by
-    id take precedence; new rows are not targets of each other.
+    A match by a non-empty id goes before one by trimmed lower-case name and
+    brand (both filled); of targets with the same key the last one in
+    ``order`` counts. New rows are no targets of each other. Both keys look
+    up one index, so rows without a key take no part in the join.
     """
-    by_id = target.select(F.col(id_), F.col(id_).alias("t1"))
-    pair = target.groupBy(F.lower(name).alias("k1"), F.lower(brand).alias("k2")).agg(F.min(id_).alias("t2"))
-    out = new.join(by_id, id_, "left").join(pair, (F.lower(new[name]) == F.col("k1")) & (F.lower(new[brand]) == F.col("k2")), "left")
-    how = F.when(F.col("t1").isNotNull(), "id").when(F.col("t2").isNotNull(), "name_brand").otherwise("insert")
-    return out.select(*[new[c] for c in new.columns], F.coalesce("t1", "t2").alias("target_id"), how.alias("matched_by"))
+    pair = F.concat_ws("\u0000", F.lower(F.trim(name)), F.lower(F.trim(brand)))
+    filled = ~is_blank(F.col(name)) & ~is_blank(F.col(brand))
+    text = F.col(id_).cast("string")
+    keys = F.array(
+        F.when(F.coalesce(text, F.lit("")) != "", F.struct(F.lit(0).alias("kind"), text.alias("key"))),
+        F.when(filled, F.struct(F.lit(1).alias("kind"), pair.alias("key"))),
+    )
+    keyed = lambda df: df.select(order, F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k"))
+    index = keyed(target).groupBy("k").agg(F.max(order).alias("target_order"))
+    best = keyed(new).join(index, "k").groupBy(order).agg(F.min(F.struct("k.kind", "target_order")).alias("hit"))
+    out = new.join(best, order, "left")
+    how = F.when(F.col("hit.kind") == 0, "id").when(F.col("hit.kind") == 1, "name_brand").otherwise("insert")
+    return out.select(*[F.col(c) for c in new.columns], F.col("hit.target_order").alias("target_order"), how.alias("matched_by"))
 
 
 def merged_lists(items: DataFrame, url: str, position: str, fill: list[str], hints: str) -> DataFrame:

@@ -118,7 +118,7 @@ def cat_update_from(spark, sf_dir):
 @query(
     """WITH new AS (SELECT p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1000000 END AS id, CASE WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name || '!' END AS name, p_brand AS brand FROM part),
     t AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part),
-    pair AS (SELECT lower(name) AS k1, lower(brand) AS k2, min(id) AS t2 FROM t GROUP BY 1, 2)
+    pair AS (SELECT lower(name) AS k1, lower(brand) AS k2, max(id) AS t2 FROM t GROUP BY 1, 2)
     SELECT new.id, coalesce(t.id, t2) AS target_id, CASE WHEN t.id IS NOT NULL THEN 'id' WHEN t2 IS NOT NULL THEN 'name_brand' ELSE 'insert' END AS matched_by
     FROM new LEFT JOIN t ON t.id = new.id LEFT JOIN pair ON lower(new.name) = k1 AND lower(new.brand) = k2"""
 )
@@ -131,7 +131,7 @@ def cat_two_key_match(spark, sf_dir):
         F.when(i % 3 == 1, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("!"))).alias("name"),
         F.col("p_brand").alias("brand"),
     )
-    return K.two_key_match(new, t, "id", "name", "brand").select("id", "target_id", "matched_by")
+    return K.two_key_match(new, t, "id", "name", "brand", "id").select("id", F.col("target_order").alias("target_id"), "matched_by")
 
 
 HOST = r"regexp_replace(split_part(split_part(split_part(lower(url), '/', 3), '?', 1), '#', 1), '^www\.', '')"
@@ -235,18 +235,17 @@ def ddp_keeper(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS ord, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_returnflag END AS flag, repeat(l_linestatus, CAST(l_quantity AS INTEGER)) AS note,
-      l_partkey, l_suppkey, l_returnflag FROM lineitem),
-    s AS (SELECT *, row_number() OVER (PARTITION BY k, ord ORDER BY l_partkey, l_suppkey, note, l_returnflag) AS d FROM r)
-    SELECT k, arg_min(flag, ord) FILTER (WHERE flag IS NOT NULL) AS flag, max({'a': length(note), 'b': -ord}).a AS longest FROM s WHERE d = 1 GROUP BY k"""
+      l_partkey AS p, l_suppkey AS s FROM lineitem)
+    SELECT k, struct_extract(min({'a': ord, 'b': p, 'c': s, 'flag': flag}) FILTER (WHERE flag IS NOT NULL), 'flag') AS flag, max(length(note)) AS longest, count(*) AS n FROM r GROUP BY k"""
 )
 def ddp_merge_fields(spark, sf_dir):
-    """First filled and longest values over a group in keeper order."""
+    """First filled and longest values over all rows of a group in keeper order, in one aggregation."""
     r = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_returnflag")).alias("flag"),
-        F.expr("repeat(l_linestatus, CAST(l_quantity AS INT))").alias("note"), "l_partkey", "l_suppkey", "l_returnflag",
+        F.expr("repeat(l_linestatus, CAST(l_quantity AS INT))").alias("note"), "l_partkey", "l_suppkey", F.lit(1).alias("one"),
     )
-    one = K.latest_wins(r, ["k", "ord"], [F.asc(c) for c in ("l_partkey", "l_suppkey", "note", "l_returnflag")])
-    return K.merged_fields(one, "k", [F.col("ord")], ["flag"], ["note"]).select("k", "flag", F.length("note").alias("longest"))
+    order = [F.col(c) for c in ("ord", "l_partkey", "l_suppkey", "flag")]
+    return K.merged_fields(r, "k", order, ["flag"], ["note"], {"n": F.sum("one")}).select("k", "flag", F.length("note").alias("longest"), "n")
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions import columns as X
-from talus.operators import catalog as K
 from talus.operators import links as L
 from talus.operators import matching as M
 from talus.plans.registry import query, table
@@ -105,34 +104,28 @@ def aud_deletion_counts(spark, sf_dir):
 
 
 CHARS = "list_distinct(list_filter(string_split({0}, ''), lambda c: c <> ''))"
-TITLES = """WITH targets AS (SELECT DISTINCT p_name AS target FROM part), shop AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS title, p_type <> 'LARGE' AS listed FROM part),
-    x AS (SELECT target, list_distinct(string_split(target, ' ')) AS tt FROM targets), y AS (SELECT title, listed, list_distinct(string_split(title, ' ')) AS ct FROM shop),
-    pairs AS (SELECT * FROM x JOIN y ON len(list_intersect(tt, ct)) > 0)"""
+TITLES = """WITH targets AS (SELECT DISTINCT p_name AS target FROM part), shop AS (SELECT lower(p_type) || ' ' || p_name AS title, bool_or(p_type <> 'LARGE') AS listed FROM part GROUP BY 1),
+    x AS (SELECT target, list_distinct(list_filter(string_split(target, ' '), lambda t: length(t) >= 2)) AS tt, replace(target, ' ', '') AS ts FROM targets), y AS (SELECT title, listed, replace(title, ' ', '') AS cs FROM shop),
+    pairs AS (SELECT * FROM x CROSS JOIN y)"""
 
 
 def titles(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    targets = part.select(F.col("p_name").alias("target")).distinct().withColumn("tt", F.array_distinct(F.split("target", " ")))
-    shop = part.select(F.concat_ws(" ", F.lower("p_type"), "p_name").alias("title"), (F.col("p_type") != "LARGE").alias("listed")).distinct()
-    return targets, shop.withColumn("ct", F.array_distinct(F.split("title", " ")))
+    targets = part.select(F.col("p_name").alias("target")).distinct().withColumn("tt", F.array_distinct(F.filter(F.split("target", " "), lambda t: F.length(t) >= 2)))
+    shop = part.groupBy(F.concat_ws(" ", F.lower("p_type"), "p_name").alias("title")).agg(F.bool_or(F.col("p_type") != "LARGE").alias("listed"))
+    return targets, shop
 
 
 @query(
     TITLES
-    + f""", s AS (SELECT target, title, least(1.0::DOUBLE, 0.62::DOUBLE * 2.0::DOUBLE * len(list_intersect({CHARS.format("target")}, {CHARS.format("title")})) / (len({CHARS.format("target")}) + len({CHARS.format("title")}))
-      + 0.30::DOUBLE * (len(list_filter(tt, lambda t: contains(title, t))) / len(tt)::DOUBLE) + CASE WHEN listed THEN 0.08::DOUBLE ELSE 0 END) AS score FROM pairs)
+    + f""", s AS (SELECT target, title, least(1.0::DOUBLE, 0.62::DOUBLE * 2.0::DOUBLE * len(list_intersect({CHARS.format("ts")}, {CHARS.format("cs")})) / (len({CHARS.format("ts")}) + len({CHARS.format("cs")}))
+      + 0.30::DOUBLE * (len(list_filter(tt, lambda t: contains(title, t))) / greatest(len(tt), 1)::DOUBLE) + CASE WHEN listed THEN 0.08::DOUBLE ELSE 0 END) AS score FROM pairs)
     SELECT target, title, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, title) AS rn FROM s) WHERE rn = 1 AND score >= 0.42"""
 )
 def match_composite(spark, sf_dir):
-    """Best shop title of every name by character Dice, token recall and a bonus, from 0.42.
-
-    Candidates come from an inverted index: a candidate shares a word with the name.
-    """
+    """Best shop title of every name by character Dice, token recall and a bonus, from 0.42, of all titles."""
     targets, shop = titles(spark, sf_dir)
-    pairs = M.sharing(targets, shop, "tt", "ct", ("target", "title"))
-    scored = pairs.select("target", "title", F.round(M.composite_score(F.col("target"), F.col("title"), F.col("tt"), F.col("listed")), 9).alias("score"))
-    best = M.best_or_current(scored, "target", "title", F.lit(False), 0.42)
-    return best.select("target", F.col("match").alias("title"), F.round("score", 6).alias("score"))
+    return M.best_composite(targets, "tt", shop, "listed").withColumn("score", F.round("score", 6))
 
 
 ALIASES = {"red": ("crimson", "small"), "bolt": ("screw",)}
@@ -143,7 +136,7 @@ TOKENS = """list_distinct(list_filter(list_concat(list_concat(list_concat(string
 @query(
     f"""WITH targets AS (SELECT DISTINCT p_name AS target FROM part), shop AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS title FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size = 7),
     x AS (SELECT target, {TOKENS.format("target")} AS tt FROM targets), y AS (SELECT title, {TOKENS.format("title")} AS ct FROM shop),
-    p AS (SELECT *, len(list_intersect(tt, ct)) AS n, least(len(tt), len(ct)) AS lo, greatest(len(tt), len(ct)) AS hi, CASE WHEN contains(target, 'gear') AND contains(title, 'gear') THEN 0.86::DOUBLE ELSE 0.0::DOUBLE END AS alias FROM x JOIN y ON len(list_intersect(tt, ct)) > 0),
+    p AS (SELECT *, len(list_intersect(tt, ct)) AS n, least(len(tt), len(ct)) AS lo, greatest(len(tt), len(ct)) AS hi, CASE WHEN contains(target, 'gear') AND contains(title, 'gear') THEN 0.86::DOUBLE ELSE 0.0::DOUBLE END AS alias FROM x CROSS JOIN y),
     s AS (SELECT target, title, title = 'promo ' || target AS cur, CASE WHEN target = title THEN 1.0::DOUBLE WHEN contains(target, title) OR contains(title, target) THEN greatest(alias, least(length(target), length(title)) / greatest(length(target), length(title))::DOUBLE)
       ELSE greatest(alias, n / hi::DOUBLE, 0.72::DOUBLE * n / lo) END AS score FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY NOT cur, round(score, 9) DESC, title) AS rn FROM s WHERE score >= 0.42)
@@ -154,7 +147,7 @@ def match_keep_current(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     targets = part.select(F.col("p_name").alias("target")).distinct().withColumn("tt", M.title_tokens(F.col("target"), ALIASES))
     shop = part.select(F.concat_ws(" ", F.lower("p_type"), "p_name").alias("title")).union(part.where("p_size = 7").select("p_name")).distinct()
-    pairs = M.sharing(targets, shop.withColumn("ct", M.title_tokens(F.col("title"), ALIASES)), "tt", "ct", ("target", "title"))
+    pairs = M.title_pairs(targets, "tt", shop.withColumn("ct", M.title_tokens(F.col("title"), ALIASES)), "ct", 0.42, (("gear",), ("gear",)))
     alias = F.when(F.col("target").contains("gear") & F.col("title").contains("gear"), 0.86).otherwise(0.0)
     score = F.round(M.title_score(F.col("target"), F.col("title"), F.col("tt"), F.col("ct"), alias), 9)
     best = M.best_or_current(pairs.withColumn("score", score), "target", "title", F.col("title") == F.concat(F.lit("promo "), "target"), 0.42)
@@ -162,8 +155,8 @@ def match_keep_current(spark, sf_dir):
 
 
 @query(
-    """WITH items AS (SELECT p_partkey AS id, regexp_replace(p_name, ' ', '', 'g') AS name, string_split(p_name, ' ') AS keys FROM part), shop AS (SELECT DISTINCT p_type || '|' || p_name AS handle, regexp_replace(lower(p_type) || p_name, ' ', '', 'g') AS title, string_split(p_name, ' ') AS words FROM part),
-    p AS (SELECT id, name, keys, handle, title, name = 'redgear' AND handle = 'PROMO|red gear' AS alias FROM items JOIN shop ON len(list_intersect(keys, words)) > 0),
+    """WITH items AS (SELECT p_partkey AS id, regexp_replace(p_name, ' ', '', 'g') AS name, string_split(p_name, ' ') AS keys FROM part), shop AS (SELECT DISTINCT p_type || '|' || p_name AS handle, regexp_replace(lower(p_type) || p_name, ' ', '', 'g') AS title FROM part),
+    p AS (SELECT id, name, keys, handle, title, name = 'redgear' AND handle = 'PROMO|red gear' AS alias FROM items CROSS JOIN shop),
     s AS (SELECT *, CASE WHEN alias THEN 100 ELSE CASE WHEN length(name) >= 5 AND contains(title, name) THEN 35 ELSE 0 END + list_sum(list_transform(keys, lambda k: CASE WHEN length(k) >= 4 AND contains(title, k) THEN CASE WHEN length(k) >= 6 THEN 20 ELSE 12 END ELSE 0 END)) END AS score,
       CASE WHEN alias THEN 'alias' WHEN length(name) >= 5 AND contains(title, name) THEN 'name' WHEN len(list_filter(keys, lambda k: length(k) >= 4 AND contains(title, k))) > 0 THEN 'token' ELSE 'none' END AS matched_by FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, handle) AS rn, lead(score) OVER (PARTITION BY id ORDER BY score DESC, handle) AS second FROM s WHERE score >= 25)
@@ -173,9 +166,11 @@ def match_alias_or_clear(spark, sf_dir):
     """Additive candidate scores from 25; no match if the second is within 4, unless an alias names it."""
     part = table(spark, sf_dir, "part")
     names = part.select("p_name").distinct().select("p_name", F.regexp_replace("p_name", " ", "").alias("name"), F.split("p_name", " ").alias("keys"))
-    shop = part.select("p_type", "p_name").distinct().select(F.concat_ws("|", "p_type", "p_name").alias("handle"), F.regexp_replace(F.concat(F.lower("p_type"), "p_name"), " ", "").alias("title"), F.split("p_name", " ").alias("words"))
-    pairs = M.sharing(names, shop, "keys", "words", ("p_name", "handle"))
+    shop = part.select("p_type", "p_name").distinct().select(F.concat_ws("|", "p_type", "p_name").alias("handle"), F.regexp_replace(F.concat(F.lower("p_type"), "p_name"), " ", "").alias("title"))
     alias = (F.col("name") == "redgear") & (F.col("handle") == "PROMO|red gear")
+    pairs = M.additive_pairs(names, shop, alias)
+    named = names.where("name = 'redgear'").join(F.broadcast(shop.where("handle = 'PROMO|red gear'")))  # one row
+    pairs = pairs.unionByName(named)
     scored = pairs.select("p_name", "handle", M.additive_score(F.col("name"), F.col("title"), F.col("keys"), alias).alias("s")).select("p_name", "handle", "s.*")
     best = M.unambiguous(scored, "p_name", "handle", 25, 4)
     return part.join(best, "p_name").select(F.col("p_partkey").alias("id"), "handle", F.col("score").cast("int").alias("score"), "matched_by")
@@ -208,21 +203,54 @@ def ddp_keeper_updated(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", order).alias("keeper"), F.count("*").alias("n"))
 
 
-@query(
-    """WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN p_type END AS note, p_retailprice AS price FROM part),
-    n AS (SELECT p_partkey + 100 AS id, p_name AS name, p_brand AS brand, CASE WHEN p_size % 3 = 0 THEN p_type || '!' END AS note, CASE WHEN p_size % 5 > 0 THEN p_retailprice + 1 END AS price, p_partkey AS pos FROM part),
-    nb AS (SELECT lower(name) AS k1, lower(brand) AS k2, min(id) AS t2 FROM t GROUP BY 1, 2),
-    m AS (SELECT n.*, coalesce(t.id, nb.t2) AS target_id FROM n LEFT JOIN t ON n.id = t.id LEFT JOIN nb ON lower(n.name) = k1 AND lower(n.brand) = k2),
-    h AS (SELECT target_id, max_by(note, pos) FILTER (WHERE note IS NOT NULL) AS note, max_by(price, pos) FILTER (WHERE price IS NOT NULL) AS price FROM m WHERE target_id IS NOT NULL GROUP BY 1)
-    SELECT t.id, t.name, t.brand, coalesce(h.note, t.note) AS note, coalesce(h.price, t.price) AS price FROM t LEFT JOIN h ON t.id = h.target_id"""
-)
-def cat_merge_matched(spark, sf_dir):
-    """Match by id, else by name and brand; fields take the last filled value of the matched rows."""
+SOURCES = """WITH t AS (SELECT p_partkey AS pos, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(p_partkey // 2 AS VARCHAR) END AS oid, CASE WHEN p_size % 7 = 0 THEN ' ' ELSE '  ' || upper(p_name) END AS name,
+      CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_brand END AS brand, CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN '  ' WHEN 2 THEN '' END AS note, CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS price FROM part),
+    n AS (SELECT p_partkey AS pos, CASE WHEN p_size % 3 = 0 THEN CAST(p_partkey * 2 AS VARCHAR) ELSE '' END AS oid, p_name AS name, CASE WHEN p_size % 13 = 0 THEN '' ELSE lower(p_brand) END AS brand,
+      CASE WHEN p_size % 2 = 0 THEN ' ' ELSE p_type || '!' END AS note, CASE WHEN p_size % 5 > 0 THEN p_retailprice + 1 END AS price FROM part),
+    i1 AS (SELECT oid, max(pos) AS t1 FROM t WHERE oid <> '' GROUP BY 1),
+    i2 AS (SELECT lower(trim(name)) AS k1, lower(trim(brand)) AS k2, max(pos) AS t2 FROM t WHERE trim(name) <> '' AND trim(brand) <> '' GROUP BY 1, 2),
+    m AS (SELECT n.*, coalesce(t1, t2) AS target, t1 IS NOT NULL AS by_key FROM n LEFT JOIN i1 ON n.oid = i1.oid LEFT JOIN i2 ON lower(trim(n.name)) = k1 AND lower(trim(n.brand)) = k2),
+    h AS (SELECT target, arg_min(note, pos) FILTER (WHERE trim(note) <> '') AS nn, arg_min(price, pos) FILTER (WHERE price IS NOT NULL) AS np, arg_min(brand, pos) FILTER (WHERE trim(brand) <> '') AS nb,
+      count(*) FILTER (WHERE by_key) AS by_key, count(*) FILTER (WHERE NOT by_key) AS by_name FROM m WHERE target IS NOT NULL GROUP BY 1),
+    a AS (SELECT 'target' AS origin, pos, oid, name, CASE WHEN trim(coalesce(brand, '')) = '' THEN coalesce(nb, brand) ELSE brand END AS brand, CASE WHEN trim(coalesce(note, '')) = '' THEN coalesce(nn, note) ELSE note END AS note, coalesce(price, np) AS price,
+        coalesce(by_key, 0) AS by_key, coalesce(by_name, 0) AS by_name,
+        CAST(trim(coalesce(brand, '')) = '' AND nb IS NOT NULL AS INTEGER) + CAST(trim(coalesce(note, '')) = '' AND nn IS NOT NULL AS INTEGER) + CAST(price IS NULL AND np IS NOT NULL AS INTEGER) AS filled FROM t LEFT JOIN h ON pos = target
+      UNION ALL SELECT 'insert', pos, oid, name, brand, note, price, 0, 0, 0 FROM m WHERE target IS NULL)"""
+
+
+def two_sources(spark, sf_dir):
+    """Two catalogs made of the parts: with ids that repeat or lack, names of other case, and blanks."""
     p = table(spark, sf_dir, "part")
-    size, price = F.col("p_size"), F.col("p_retailprice")
-    own = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.when(size % 2 == 0, F.col("p_type")).alias("note"), price.alias("price"))
-    new = p.select((F.col("p_partkey") + 100).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.when(size % 3 == 0, F.concat("p_type", F.lit("!"))).alias("note"), F.when(size % 5 > 0, price + 1).alias("price"), F.col("p_partkey").alias("pos"))
-    return M.merged_by_match(K.two_key_match(new, own, "id", "name", "brand"), own, "id", "pos", ["note", "price"])
+    size, key = F.col("p_size"), F.col("p_partkey")
+    own = p.select(
+        key.alias("pos"), F.when(size % 5 == 0, None).when(size % 5 == 1, "").otherwise(F.expr("p_partkey div 2").cast("string")).alias("oid"),
+        F.when(size % 7 == 0, " ").otherwise(F.concat(F.lit("  "), F.upper("p_name"))).alias("name"), F.when(size % 11 != 0, F.col("p_brand")).alias("brand"),
+        F.when(size % 4 == 0, F.col("p_type")).when(size % 4 == 1, "  ").when(size % 4 == 2, "").alias("note"), F.when(size % 3 == 0, F.col("p_retailprice")).alias("price"),
+    )
+    new = p.select(
+        key.alias("pos"), F.when(size % 3 == 0, (key * 2).cast("string")).otherwise("").alias("oid"), F.col("p_name").alias("name"), F.when(size % 13 == 0, "").otherwise(F.lower("p_brand")).alias("brand"),
+        F.when(size % 2 == 0, " ").otherwise(F.concat("p_type", F.lit("!"))).alias("note"), F.when(size % 5 > 0, F.col("p_retailprice") + 1).alias("price"),
+    )
+    return own, new
+
+
+def merged_sources(spark, sf_dir):
+    own, new = two_sources(spark, sf_dir)
+    return M.merge_two_sources(own, new, "oid", "name", "brand", "pos", ["brand", "note", "price"])
+
+
+@query(SOURCES + " SELECT origin, pos, oid, name, brand, note, price FROM a")
+def cat_merge_matched(spark, sf_dir):
+    """Two catalogs in one: match by id, else by name and brand; blanks are filled in order, what has no match is appended."""
+    return merged_sources(spark, sf_dir).select("origin", "pos", "oid", "name", "brand", "note", "price")
+
+
+@query(SOURCES + " SELECT CAST(sum(by_key) AS BIGINT) AS matched_by_id, CAST(sum(by_name) AS BIGINT) AS matched_by_name_brand, count(*) FILTER (WHERE origin = 'insert') AS inserted, CAST(sum(filled) AS BIGINT) AS fields_filled FROM a")
+def cat_merge_summary(spark, sf_dir):
+    """What that merge did: matches by either key, inserts, fields filled."""
+    return merged_sources(spark, sf_dir).agg(
+        F.sum("by_key").alias("matched_by_id"), F.sum("by_name").alias("matched_by_name_brand"), F.count_if(F.col("origin") == "insert").alias("inserted"), F.sum("filled").alias("fields_filled")
+    )
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from talus.functions import columns as X
 from talus.operators import matching as M
 from talus.operators import rules as T
+from talus.operators.postings import alike, containing, letters, sharing
 from talus.plans.registry import query, table
 
 
@@ -108,22 +109,13 @@ DICE = """list_distinct(list_filter(string_split({0}, ''), lambda c: c <> ''))""
 def txt_name_key_dice(spark, sf_dir):
     """All pairs of different name keys that may be merged, with their character Dice.
 
-    Alike keys share most letters, so they meet in the index of the rarest
-    letters that a pair at 0.72 must share one of; a key inside another one
-    shares all of its letters with it.
+    Keys with the same letters share one set; sets that are alike enough come
+    from the index of rare letters, a key inside another one from substrings.
     """
     g = table(spark, sf_dir, "part").select(X.name_key(F.col("p_name")).alias("key")).where("key <> ''").distinct()
-    g = g.withColumn("letters", F.array_distinct(F.filter(F.split("key", ""), lambda c: c != "")))
-    counts = g.select(F.explode("letters").alias("c")).groupBy("c").count()
-    order = F.broadcast(counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "c"))), lambda x: x["c"]).alias("order")))  # one row of an alphabet
-    g = g.join(order, F.lit(True))
-    rare = F.filter("order", lambda c: F.array_contains("letters", c))
-    # sets of sizes x, y with 2n / (x + y) >= 0.72 share n >= 0.36 / 0.64 x letters: one is among the rarest x - n + 1 of either set
-    g = g.select("key", F.explode(F.slice(rare, 1, F.size(rare) - F.ceil(F.size(rare) * (0.72 / (2 - 0.72)) - 1e-9).cast("int") + 1)).alias("c"), F.size(rare).alias("n"), rare.alias("all"))
-    near = g.select(F.col("key").alias("a"), "c").join(g.select(F.col("key").alias("b"), "c"), "c").where("a < b").select("a", "b")
-    short = g.select("key", F.element_at("all", 1).alias("c")).where(F.length("key") >= 6).distinct()  # a contained key's rarest letter is in the longer one
-    whole = g.select(F.col("key").alias("long"), F.explode("all").alias("c")).distinct()
-    inside = short.join(whole, "c").where((F.col("key") != F.col("long")) & F.contains("long", "key"))
+    x, y = (g.select(F.col("key").alias(n), letters(F.col("key")).alias(f"set_{n}")) for n in ("a", "b"))
+    near = x.join(alike(x, "set_a", y, "set_b", 0.72), "set_a").join(y, "set_b").where("a < b").select("a", "b")
+    inside = containing(g.where(F.length("key") >= 6), "key", g.select(F.col("key").alias("long")), "long").where("key <> long")
     inside = inside.select(F.least("key", "long").alias("a"), F.greatest("key", "long").alias("b"))
     pairs = near.union(inside).distinct().where(X.mergeable(F.col("a"), F.col("b")))
     return pairs.select("a", "b", F.round(X.char_dice(F.col("a"), F.col("b")), 6).alias("dice"))
@@ -152,7 +144,7 @@ def txt_token_recall(spark, sf_dir):
 def match_title_best(spark, sf_dir):
     """Best other title at 0.42 or more; titles meet by any word they share."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("l")).distinct().withColumn("w", F.array_distinct(F.split("l", " ")))
-    p = M.sharing(n, n.select(F.col("l").alias("r"), F.col("w").alias("v")), "w", "v", ("l", "r")).where("l <> r")
+    p = sharing(n, "w", n.select(F.col("l").alias("r"), F.col("w").alias("v")), "v").where("l <> r")
     both = F.size(F.array_intersect("w", "v"))
     x, y = F.size("w"), F.size("v")
     p = p.withColumn("score", F.greatest(both / F.greatest(x, y), 0.72 * both / F.least(x, y)))

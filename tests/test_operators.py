@@ -183,9 +183,9 @@ def test_upserts(spark):
     new = spark.createDataFrame([(2, None, 5), (3, "c", None)], "id int, x string, y int")
     assert sorted(K.keep_filled(old, new, "id").collect()) == [(1, "a", 1), (2, "b", 5), (3, "c", None)]
     assert sorted(r.id for r in K.insert_ignore(old, new.unionByName(new), ["id"]).collect()) == [3]
-    how = {r.id: (r.target_id, r.matched_by) for r in K.two_key_match(
+    how = {r.id: (r.target_order, r.matched_by) for r in K.two_key_match(
         spark.createDataFrame([(1, "q", "B"), (9, "A", "b"), (8, "zz", "b")], "id int, name string, brand string"),
-        spark.createDataFrame([(1, "x", "y"), (2, "a", "B")], "id int, name string, brand string"), "id", "name", "brand").collect()}
+        spark.createDataFrame([(1, "x", "y"), (2, "a", "B")], "id int, name string, brand string"), "id", "name", "brand", "id").collect()}
     assert how == {1: (1, "id"), 9: (2, "name_brand"), 8: (None, "insert")}
 
 

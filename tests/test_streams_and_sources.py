@@ -2,7 +2,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from talus.operators.events import fixed_window_limit
 from talus.sources import files
 from talus.streaming import views
 
@@ -54,15 +53,6 @@ def test_first_views(spark, tmp_path):
     assert spark.table("first_views").count() == 2
 
 
-def test_rate_limit_equals_batch(spark, tmp_path):
-    schema = "k string, t long, id long"
-    rows = [("u", 0, 1), ("u", 50, 2), ("u", 99, 3), ("u", 100, 4), ("v", 70, 5)]
-    s = stream(spark, tmp_path, [rows], schema)
-    run(views.rate_limited(s, "k", "t", "id", 100, 2), name="limited")
-    want = fixed_window_limit(spark.createDataFrame(rows, schema), "k", "t", "id", 100, 2).collect()
-    assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, want))
-
-
 def test_latest_sink(spark, tmp_path):
     schema = "id int, v string, at int"
     s = stream(spark, tmp_path, [[(1, "old", 1), (1, "new", 2), (2, "x", 1)]], schema)
