@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators.catalog import latest_wins
+from talus.sources.tables import KeyedTable
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -24,14 +24,6 @@ def windowed_counts(events: DataFrame, at: str, by: str, length: str, late: str)
     return events.withWatermark(at, late).groupBy(F.window(at, length), by).agg(F.count("*").alias("n"))
 
 
-def latest_sink(path: str, keys: list[str], newest: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that keeps the newest row per key; each batch writes a new version of the table."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
-        latest_wins(rows, keys, [F.desc(newest)]).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    return write
+def latest_sink(spark: SparkSession, path: str, keys: list[str], newest: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that keeps the newest row per key in a bucketed table; replayed batches change nothing."""
+    return KeyedTable(spark, path, keys, newest, buckets).sink()
