@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -137,15 +139,26 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def distinctive_tokens(text: Column, generic: tuple[str, ...], limit: int = 24) -> Column:
-    """Latin words of three letters or more that are not generic; Han runs whole up to five characters, else their 2-grams."""
+def compacted(text: Column) -> Column:
+    """Lower case without anything but Han characters, a-z and digits."""
+    return name_key(text)
+
+
+def distinctive_tokens(text: Column, generic: tuple[str, ...], limit: int = 24, phrases: tuple[str, ...] = ()) -> Column:
+    """Latin words of three characters or more that begin with a letter and are not generic, known phrases, and Han runs.
+
+    A phrase counts where the compacted text has it. Han runs count whole up
+    to five characters, else by their 2-, 3- and 4-grams. Each token once, in
+    this order, first ``limit``.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    latin = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9]{3,})"), F.lit(1)), lambda w: ~w.isin(*generic) if generic else F.lit(True))
+    latin = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z][a-z0-9]{2,})"), F.lit(1)), lambda w: ~w.isin(*generic) if generic else F.lit(True))
+    keys = [k for k in dict.fromkeys("".join(c for c in p.lower() if c.isalnum()) for p in phrases) if k]
+    said = F.array_compact(F.array(*[F.when(F.contains(compacted(text), F.lit(k)), F.lit(k)) for k in keys])) if keys else F.array().cast("array<string>")
     runs = F.regexp_extract_all(low, F.lit(r"([\p{IsHan}]{2,})"), F.lit(1))
-    grams = F.flatten(
-        F.transform(runs, lambda r: F.when(F.length(r) <= 5, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    )
-    return F.slice(F.array_distinct(F.concat(latin, grams)), 1, limit)
+    of = lambda r, n: F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n)))
+    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 5, F.array(r)).otherwise(F.concat(of(r, 2), of(r, 3), of(r, 4)))))
+    return F.slice(F.filter(F.array_distinct(F.concat(latin, said, grams)), lambda w: F.length(w) >= 2), 1, limit)
 
 
 def recall(tokens: Column, hay: Column) -> Column:
@@ -190,15 +203,81 @@ def _flat(doc: Column, drop: tuple[str, ...] = ()) -> Column:
 
 
 def chunks(text: Column, limit: int) -> Column:
-    """Lines folded into chunks of at most ``limit`` characters; a longer line stands alone."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    start = F.array().cast("array<string>")
-
-    def step(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))) + 1 + F.length(line) <= limit)
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws("\n", F.try_element_at(done, F.lit(-1)), line)))
-        del last
-        return F.when(fits, joined).otherwise(F.concat(done, F.array(line)))
-
-    return F.aggregate(lines, start, step)
+    """Whole lines joined to chunks of at most ``limit`` characters; longer lines are cut, blank lines between chunks go.
+
+    The fold carries the first line and the length of the open chunk, and the
+    borders of those that are done; texts are put together afterwards, so the
+    work grows with the number of lines.
+    """
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n")
+    lines = F.split(whole, "\n")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("n"), none.alias("done"))
+
+    def step(s: Column, size: Column) -> Column:
+        joined = F.when(s["n"] > 0, s["n"] + 1 + size).otherwise(size)
+        fits, long = joined <= limit, size > limit
+        closed = F.when(s["n"] > 0, F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))))).otherwise(s["done"])
+        own = F.concat(closed, F.array(F.struct(s["i"].alias("a"), s["i"].alias("b"))))
+        return F.struct(
+            (s["i"] + 1).alias("i"),
+            F.when(fits & (s["n"] > 0), s["a"]).otherwise(s["i"]).alias("a"),
+            F.when(fits, joined).when(long, 0).otherwise(size).alias("n"),
+            F.when(fits, s["done"]).when(long, own).otherwise(closed).alias("done"),
+        )
+
+    end = lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))))).otherwise(s["done"])
+    ranges = F.aggregate(F.transform(lines, lambda x: F.length(x)), start, step, end)
+    texts = F.transform(ranges, lambda r: F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "\n"))
+    cut = F.transform(texts, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / limit).cast("int")), lambda k: F.substring(x, k * limit + 1, F.lit(limit))))
+    return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(F.flatten(cut))
+
+
+def usd_rates(text: Column) -> Column:
+    """Map from currency to its rate, of ``"USDxxx": ["rate"`` entries in a text; the last positive one of a currency counts."""
+    entry = F.lit(r'"USD([A-Z]{3})"\s*:\s*\[\s*"([0-9.]+)"')
+    names, rates = (F.regexp_extract_all(F.coalesce(text, F.lit("")), entry, F.lit(k)) for k in (1, 2))
+    pairs = F.transform(F.arrays_zip(names.alias("c"), rates.alias("r")), lambda p: F.struct(p["c"].alias("c"), p["r"].try_cast("double").alias("r")))
+    good = F.filter(pairs, lambda p: p["r"] > 0)
+    last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["c"] == p["c"]))
+    return F.map_from_arrays(F.transform(last, lambda p: p["c"]), F.transform(last, lambda p: p["r"]))
+
+
+def cross_rates(rates: Column, to: str, needed: str, fallback: dict[str, float]) -> Column:
+    """Units of ``to`` for one unit of each currency, from rates per dollar; the fallback if ``to`` or ``needed`` has no rate."""
+    base = F.try_element_at(rates, F.lit(to))
+    own = F.transform_values(rates, lambda c, r: F.when(c == to, F.lit(1.0)).otherwise(base / r))
+    fixed = F.create_map(*[x for c, r in fallback.items() for x in (F.lit(c), F.lit(float(r)))])
+    return F.when(base.isNotNull() & F.map_contains_key(rates, F.lit(needed)), own).otherwise(fixed)
+
+
+def encrypted(payload: Column, key: Column) -> Column:
+    """Struct (algorithm, iv, authTag, ciphertext; base64) of a text under AES-256-GCM with a new iv; ``key`` is 32 bytes."""
+    sealed = F.aes_encrypt(payload.cast("binary"), key, F.lit("GCM"))
+
+    def parts(b: Column) -> Column:
+        size = F.octet_length(b)
+        piece = lambda at, n: F.base64(F.substr(b, at, n))
+        return F.struct(
+            F.lit("aes-256-gcm").alias("algorithm"), piece(F.lit(1), F.lit(12)).alias("iv"), piece(size - 15, F.lit(16)).alias("authTag"), piece(F.lit(13), size - 28).alias("ciphertext")
+        )
+
+    return F.get(F.transform(F.array(sealed), parts), F.lit(0))  # the iv is random: sealed once, then taken apart
+
+
+def decrypted(parts: Column, key: Column) -> Column:
+    """The text of :func:`encrypted`; null if a part was changed or the key is another one."""
+    sealed = F.concat(F.unbase64(parts["iv"]), F.unbase64(parts["ciphertext"]), F.unbase64(parts["authTag"]))
+    return F.try_aes_decrypt(sealed, key, F.lit("GCM")).cast("string")
+
+
+def secret_key(raw: str) -> Column:
+    """A key of 32 bytes from 64 hex digits or base64; ValueError for anything else."""
+    raw = raw.strip()
+    try:
+        key = bytes.fromhex(raw) if len(raw) == 64 and all(c in "0123456789abcdefABCDEF" for c in raw) else base64.b64decode(raw)
+    except ValueError:
+        key = b""
+    if len(key) != 32:
+        raise ValueError("the key must be 32 bytes, in hex or base64")
+    return F.unhex(F.lit(key.hex()))

@@ -87,3 +87,10 @@ def contaminant(*texts: Column, patterns: tuple[str, ...]) -> Column:
 def valid_choice(choice: str, known: list[str], default: str = "all") -> str:
     """A stored facet choice, or the default if the facet no longer has it."""
     return choice if choice in known else default
+
+
+def valid_choices(rows: DataFrame, choice: str, known: DataFrame, code: str, default: str = "all") -> DataFrame:
+    """``rows`` with choices that ``known`` does not have replaced by the default; a null choice is one of them."""
+    codes = known.select(F.col(code).alias("known_")).distinct()
+    out = rows.join(codes, F.col(choice) == F.col("known_"), "left")
+    return out.select(*[F.coalesce("known_", F.lit(default)).alias(choice) if c == choice else F.col(c) for c in rows.columns])

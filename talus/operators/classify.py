@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.columns import is_blank, stripped_html
 from talus.operators.rules import decided
 
+#: Rows of a hierarchy (a pair of codes and a number) that may be broadcast.
+SMALL_DIMENSION = 100_000
 #: One case of a decision list: pattern, value, reason, confidence.
 Case = tuple[str, str, str, float]
 
@@ -43,6 +45,21 @@ def under(parent: Column, code: Column, children: dict[str, tuple[str, ...]]) ->
     return F.when(ok, code)
 
 
+def under_table(rows: DataFrame, parent: str, codes: list[str], dimension: DataFrame) -> DataFrame:
+    """``rows`` with ``subtype``, the first of the columns ``codes`` that ``dimension`` (parent, child, ordinal) has under the row's parent, and its ``ordinal``.
+
+    The hierarchy is data: a changed row of the dimension changes the result.
+    It is broadcast if it is small by count; else both sides are dealt by
+    (parent, child), never by the parent alone.
+    """
+    small, out = dimension.count() <= SMALL_DIMENSION, rows
+    for k, code in enumerate(codes):
+        one = dimension.select(F.col("parent").alias(f"p{k}_"), F.col("child").alias(f"c{k}_"), F.col("ordinal").alias(f"o{k}_"))
+        out = out.join(F.broadcast(one) if small else one, (F.col(parent) == F.col(f"p{k}_")) & (F.col(code) == F.col(f"c{k}_")), "left")
+    hit = F.coalesce(*[F.when(F.col(f"c{k}_").isNotNull(), F.struct(F.col(f"c{k}_").alias("c"), F.col(f"o{k}_").alias("o"))) for k in range(len(codes))])
+    return out.select(*rows.columns, hit["c"].alias("subtype"), hit["o"].alias("ordinal"))
+
+
 def safe_patch(old: tuple[Column, Column], new: tuple[Column, Column], risk: Column, evidence: Column, safe: tuple[str, ...], risky: tuple[str, ...]) -> Column:
     """Whether a type and subtype may be written without a person: a safe type, no risky word, some evidence, and a change."""
     change = ~(new[0].eqNullSafe(old[0]) & new[1].eqNullSafe(old[1]))
@@ -64,14 +81,6 @@ def description(page: Column, least: int = 24, most: int = 600) -> Column:
     return found
 
 
-def table_pairs(html: Column) -> Column:
-    """Array of (name, value) of the rows of HTML tables with a name cell and a value cell."""
-    row = r"(?is)<tr[^>]*>\s*<t[hd][^>]*>({})</t[hd]>\s*<td[^>]*>({})</td>"
-    names = F.regexp_extract_all(html, F.lit(row.format("[^<]*", "[^<]*")), F.lit(1))
-    values = F.regexp_extract_all(html, F.lit(row.format("[^<]*", "[^<]*")), F.lit(2))
-    return F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.struct(F.trim(x["n"]).alias("name"), F.trim(x["v"]).alias("value")))
-
-
 def rule_price(text: Column, rules: list[tuple[str, float]], default: float | None = None) -> Column:
     """Price by the first pattern that occurs."""
     t = F.lower(F.coalesce(text, F.lit("")))

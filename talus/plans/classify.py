@@ -79,17 +79,6 @@ def dsc_candidates(spark, sf_dir):
     return d.select("page_id", "d.text", "d.source", F.when(F.col("d.confidence") >= 0.8, "apply").otherwise("refetch").alias("decision"))
 
 
-@query(
-    r"""WITH p AS (SELECT p_partkey AS id, '<table><tr><th>Size</th><td> ' || p_size || ' mm</td></tr><tr class="x"><td>Make</td> <td>' || p_brand || '</td></tr></table>' AS html FROM part),
-    z AS (SELECT id, unnest(list_zip(regexp_extract_all(html, '(?is)<tr[^>]*>\s*<t[hd][^>]*>([^<]*)</t[hd]>\s*<td[^>]*>([^<]*)</td>', 1), regexp_extract_all(html, '(?is)<tr[^>]*>\s*<t[hd][^>]*>([^<]*)</t[hd]>\s*<td[^>]*>([^<]*)</td>', 2))) AS x FROM p)
-    SELECT id, trim(x[1]) AS name, trim(x[2]) AS value FROM z"""
-)
-def dsc_table_pairs(spark, sf_dir):
-    """Names and values of the rows of HTML tables."""
-    cell = F.concat(F.lit("<table><tr><th>Size</th><td> "), F.col("p_size").cast("string"), F.lit(' mm</td></tr><tr class="x"><td>Make</td> <td>'), F.col("p_brand"), F.lit("</td></tr></table>"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.inline(C.table_pairs(cell)))
-
-
 @query(
     """WITH p AS (SELECT *, CASE WHEN p_size % 4 > 0 THEN p_retailprice END AS a, CASE WHEN p_size % 3 > 0 THEN p_retailprice * 9 END AS b FROM part)
     SELECT p_partkey AS id, coalesce(CASE WHEN a > 0 AND a < 5000 THEN a END, CASE WHEN b > 0 AND b < 5000 THEN b END, a, b) AS plausible, CASE WHEN p_size * 100.0::DOUBLE = floor(p_size * 100.0::DOUBLE) AND p_size * 100 >= 1000 THEN p_size::DOUBLE ELSE p_size * 100.0::DOUBLE END AS major,

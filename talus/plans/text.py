@@ -122,8 +122,8 @@ def txt_name_key_dice(spark, sf_dir):
 
 
 @query(
-    r"""WITH i AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9]{3,})', 1), lambda w: w NOT IN ('the', 'and')))  AS raw, lower(text) AS l FROM benchmark),
-    u AS (SELECT item_id, w, min(pos) AS pos FROM (SELECT item_id, unnest(regexp_extract_all(l, '([a-z0-9]{3,})', 1)) AS w, unnest(range(1, 1 + len(regexp_extract_all(l, '([a-z0-9]{3,})', 1)))) AS pos FROM i) WHERE w NOT IN ('the', 'and') GROUP BY 1, 2),
+    r"""WITH i AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z][a-z0-9]{2,})', 1), lambda w: w NOT IN ('the', 'and')))  AS raw, lower(text) AS l FROM benchmark),
+    u AS (SELECT item_id, w, min(pos) AS pos FROM (SELECT item_id, unnest(regexp_extract_all(l, '([a-z][a-z0-9]{2,})', 1)) AS w, unnest(range(1, 1 + len(regexp_extract_all(l, '([a-z][a-z0-9]{2,})', 1)))) AS pos FROM i) WHERE w NOT IN ('the', 'and') GROUP BY 1, 2),
     t AS (SELECT item_id, list(w ORDER BY pos)[1:24] AS tokens FROM u GROUP BY 1),
     d AS (SELECT doc_id, lower(text) AS l FROM documents), s AS (SELECT item_id, doc_id, len(list_filter(tokens, lambda w: contains(l, w))) / CAST(len(tokens) AS DOUBLE) AS score FROM t, d)
     SELECT item_id, max(round(score, 6)) AS best, count(*) FILTER (WHERE score >= 0.9) AS n_match, count(*) FILTER (WHERE score < 0.2) AS n_mismatch FROM s GROUP BY 1"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.operators.catalog import insert_ignore, latest_wins
+from talus.operators.postings import containing
 
 #: Columns that every review-buffer entry may have; other fields are ignored.
 BUFFER_SCHEMA = (
@@ -19,14 +20,18 @@ def read_buffer(spark: SparkSession, path: str) -> DataFrame:
 
     A file that is no JSON array at all gives no entries.
     """
-    texts = spark.read.text(path, wholetext=True)
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     entries = texts.select(F.explode(F.from_json("value", "array<string>")).alias("entry"))
     rows = entries.select(F.from_json("entry", BUFFER_SCHEMA.replace(" ", ":").replace(",:", ", ").join(("struct<", ">")), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     return rows.where(F.coalesce(*[F.col(f.split()[0]).cast("string") for f in BUFFER_SCHEMA.split(", ")]).isNotNull())
 
 
-def write_buffer(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def write_buffer(rows: DataFrame, path: str, entries: int = 10_000) -> None:
+    """Rows as JSON-array files of about ``entries`` each, as :func:`read_buffer` takes them."""
+    blocks = max(1, -(-rows.count() // entries))
+    block = F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
+    arrays = rows.select(block, F.struct(*rows.columns).alias("r")).groupBy("block").agg(F.to_json(F.collect_list("r")).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("block").text(path)
 
 
 def read_storefront(spark: SparkSession, path: str) -> DataFrame:
@@ -89,3 +94,10 @@ def incremental(rows: DataFrame, id_: str, high_water) -> DataFrame:
 def find_brand(brands: DataFrame, name: str) -> DataFrame:
     """Case-insensitive lookup of a brand by part of its name; the least id wins."""
     return brands.where(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy("id").limit(1)
+
+
+def find_brands(brands: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(q, id) of many lookups at once: the least id whose name contains ``q``, in any case; without a hit no row."""
+    q = wanted.select(F.lower("q").alias("low")).distinct()
+    met = containing(q, "low", brands.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id")), "name")
+    return met.groupBy("low").agg(F.min("id").alias("id")).select(F.col("low").alias("q"), "id")

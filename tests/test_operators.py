@@ -145,12 +145,64 @@ def test_html_and_sentences(spark):
     r = one(spark, h=X.stripped_html(F.lit("<p>a &amp; b<script>x<y</script></p><br>c&nbsp;d")), s=X.sentences(F.lit("One. Two!\nThree；")))
     assert r.h == "a & b c d" and r.s == ["One.", "Two!", "Three；"]
     c = one(spark, c=X.chunks(F.lit("aa\nbb\ncccccc\nd"), 5)).c
-    assert c == ["aa\nbb", "cccccc", "d"]
+    assert c == ["aa\nbb", "ccccc", "c", "d"]
+    c = one(spark, c=X.chunks(F.lit("\n\naa\r\nbb\n\n\n"), 4)).c
+    assert c == ["aa\n", "bb\n\n"]
+
+
+def plain_chunks(text, most):
+    text = text.replace("\r", "\n")
+    if len(text) <= most:
+        return [text]
+    out, open_ = [], ""
+    for line in text.split("\n"):
+        more = f"{open_}\n{line}" if open_ else line
+        if len(more) <= most:
+            open_ = more
+            continue
+        out += [open_] if open_ else []
+        open_ = line if len(line) <= most else ""
+        out += [] if len(line) <= most else [line[i : i + most] for i in range(0, len(line), most)]
+    return [c for c in [*out, open_] if c]
+
+
+def test_chunks_as_a_loop_and_in_linear_time(spark):
+    import random
+    import time
+
+    r = random.Random(1)
+    texts = ["\n".join("x" * r.choice([0, 0, 1, 3, 7, 30]) for _ in range(r.randint(0, 12))) for _ in range(200)] + ["", "\n\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.chunks(F.col("t"), 10).alias("c")).collect()
+    assert all(x.c == plain_chunks(x.t, 10) for x in got)
+    long = "\n".join("line %d" % i for i in range(100_000))
+    df = spark.createDataFrame([(long,)], "t string").select(X.chunks(F.col("t"), 14_000).alias("c"))
+    began = time.time()
+    c = df.first().c
+    assert "\n".join(c) == long and max(map(len, c)) <= 14_000 and time.time() - began < 20
+
+
+def test_rates_and_secrets(spark):
+    text = F.lit('x "USDCNY": ["7.0"], "USDTWD" : [ "35.0", 1], "USDEUR":["0.5"], "USDEUR":["0.8"], "USDBAD":["."], "USDNIL":["0"]')
+    rates = X.usd_rates(text)
+    r = one(spark, r=rates, c=X.cross_rates(rates, "CNY", "TWD", {"TWD": 0.22}), f=X.cross_rates(X.usd_rates(F.lit('"USDCNY":["7"]')), "CNY", "TWD", {"CNY": 1, "TWD": 0.22}))
+    assert r.r == {"CNY": 7.0, "TWD": 35.0, "EUR": 0.8} and r.c == {"CNY": 1.0, "TWD": 0.2, "EUR": 8.75} and r.f == {"CNY": 1.0, "TWD": 0.22}
+    key, other = X.secret_key("00" * 32), X.secret_key("QUJD" * 10 + "QUI=")
+    df = spark.createDataFrame([('{"a": "é"}',), ("",), (None,)], "p string").withColumn("e", X.encrypted(F.col("p"), key))
+    df = spark.createDataFrame(df.collect(), df.schema)  # as stored
+    assert [x.e.algorithm for x in df.collect()[:2]] == ["aes-256-gcm"] * 2 and len({x.e.iv for x in df.collect()}) >= 2
+    flipped = F.col("e").withField("authTag", F.translate("e.authTag", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij", "BADCFEHGJILKNMPORQTSVUXWZYbadcfehgji"))
+    got = df.select("p", X.decrypted(F.col("e"), key).alias("d"), X.decrypted(flipped, key).alias("t"), X.decrypted(F.col("e"), other).alias("o")).collect()
+    assert all(x.d == x.p and x.t is None and x.o is None for x in got)
+    for bad in ("", "00", "zz" * 32):
+        with pytest.raises(ValueError):
+            X.secret_key(bad)
 
 
 def test_tokens_of_han_and_latin(spark):
     got = one(spark, t=X.distinctive_tokens(F.lit("The Rose 玫瑰 中文字符测试词 rose"), ("the",))).t
-    assert got == ["rose", "玫瑰", "中文", "文字", "字符", "符测", "测试", "试词"]
+    assert got == ["rose", "玫瑰", "中文", "文字", "字符", "符测", "测试", "试词", "中文字", "文字符", "字符测", "符测试", "测试词", "中文字符", "文字符测", "字符测试", "符测试词"]
+    got = one(spark, t=X.distinctive_tokens(F.lit("4ever 9 Po-Lly x2y ab 小猫 咪"), (), 24, ("Polly", "小猫咪", "none"))).t
+    assert got == ["ever", "lly", "x2y", "polly", "小猫咪", "小猫"]
     assert one(spark, r=X.recall(F.array(F.lit("ab"), F.lit("zz")), F.lit("xABx"))).r == 0.5
 
 
