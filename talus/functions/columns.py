@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it (inside lambdas too)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(x: Column) -> Column:
     return F.trim(F.coalesce(x, F.lit(""))) == ""
 
@@ -209,8 +214,6 @@ def chunks(text: Column, limit: int) -> Column:
     borders of those that are done; texts are put together afterwards, so the
     work grows with the number of lines.
     """
-    whole = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n")
-    lines = F.split(whole, "\n")
     none = F.array().cast("array<struct<a:int,b:int>>")
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("n"), none.alias("done"))
 
@@ -227,10 +230,15 @@ def chunks(text: Column, limit: int) -> Column:
         )
 
     end = lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))))).otherwise(s["done"])
-    ranges = F.aggregate(F.transform(lines, lambda x: F.length(x)), start, step, end)
-    texts = F.transform(ranges, lambda r: F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "\n"))
-    cut = F.transform(texts, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / limit).cast("int")), lambda k: F.substring(x, k * limit + 1, F.lit(limit))))
-    return F.when(F.length(whole) <= limit, F.array(whole)).otherwise(F.flatten(cut))
+
+    def cut(lines: Column) -> Column:
+        ranges = F.aggregate(F.transform(lines, lambda x: F.length(x)), start, step, end)
+        texts = F.transform(ranges, lambda r: F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "\n"))
+        pieces = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / limit).cast("int")), lambda k: F.substring(x, k * limit + 1, F.lit(limit)))
+        return F.flatten(F.transform(texts, pieces))
+
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n")
+    return let(whole, lambda w: F.when(F.length(w) <= limit, F.array(w)).otherwise(let(F.split(w, "\n"), cut)))
 
 
 def usd_rates(text: Column) -> Column:

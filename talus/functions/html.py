@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talus.functions.columns import squeezed
+from talus.functions.columns import let, squeezed
 
 #: Names that count without a semicolon too; longer ones first.
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
@@ -21,7 +20,8 @@ _WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(12
 
 
 def _table(entries: dict) -> Column:
-    return F.from_json(F.lit(json.dumps({str(k): v for k, v in entries.items()})), "map<string,string>")
+    """A constant map; ``str_to_map`` of a literal is folded once, before any row."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entries.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def _number(code: Column) -> Column:
@@ -38,16 +38,19 @@ def unescaped(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit(rf"(?s)({REFERENCE}|[^&]+|&)"), F.lit(1))
 
     def one(p: Column) -> Column:
+        return F.when(~p.startswith("&") | (p == "&"), p).otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _COMMON.items() for x in kv]), p), rare(p)))
+
+    def rare(p: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(p, r"^&#[xX]?([0-9A-Fa-f]+);?$", 1), "^0+", "")
         base16 = F.conv(digits, 16, 10).cast("long")
         code = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)).when(p.rlike("^&#[xX]"), base16).otherwise(digits.try_cast("long"))
-        known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _COMMON.items() for x in kv]), p), F.try_element_at(_table({f"&{k}": v for k, v in html5.items()}), p))
+        known = F.try_element_at(_table({f"&{k}": v for k, v in html5.items()}), p)
         # an unknown name with a semicolon may begin with a known one without
         prefix = F.regexp_extract(p, f"^&({'|'.join(_BARE)})", 1)
         short = F.concat(F.try_element_at(_table({k: html5[k] for k in _BARE}), prefix), F.substr(p, F.length(prefix) + 2))
-        return F.when(~p.startswith("&") | (p == "&"), p).when(p.startswith("&#"), _number(code)).otherwise(F.coalesce(known, F.when(prefix != "", short), p))
+        return F.when(p.startswith("&#"), _number(code)).otherwise(F.coalesce(known, F.when(prefix != "", short), p))
 
-    return F.when(text.isNotNull(), F.array_join(F.transform(parts, one), ""))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def attribute(tag: Column, name: str, decode: bool = True) -> Column:
@@ -89,17 +92,27 @@ def page_signals(html: Column, blocked: str, limit: int = 5000) -> Column:
     class; meta_title is og:title, else the meta tag ``title``; body is cut to
     ``limit`` characters, and ``blocked`` looks for its pattern in all of them.
     """
+
+    def of(page: Column) -> Column:
+        title = text_of(F.regexp_extract(page, rf"(?is)<title\b{_TAG}>(.*?)</title", 1), "")
+        h1 = text_of(F.regexp_extract(page, rf"(?is)<h1\b{_TAG}>(.*?)</h1", 1), "")
+        classed = text_of(F.regexp_extract(page, r"""(?s)<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?\bclass\s*=\s*["'][^"']*[tT]itle[^"']*["'][^>]*>(.*?)</\1""", 2), "")
+        inside = F.regexp_extract(page, rf"(?is)<body\b{_TAG}>(.*)", 1)
+        body = let(inside, lambda b: text_of(F.when(b != "", b).otherwise(F.regexp_replace(page, r"(?is)<head\b.*?</head\s*>", ""))))
+        og, plain = meta(page, "og:title"), meta(page, "title")
+        return F.struct(
+            title.alias("title"),
+            let(h1, lambda x: F.when(x != "", x).otherwise(classed)).alias("heading"),
+            let(og, lambda x: F.when(x != "", x).otherwise(plain)).alias("meta_title"),
+            body.alias("body"),
+        )
+
+    def signals(s: Column) -> Column:
+        every = F.concat_ws("\n", s["title"], s["heading"], s["meta_title"], s["body"])
+        return F.struct(s["title"].alias("title"), s["heading"].alias("heading"), s["meta_title"].alias("meta_title"), F.left(s["body"], F.lit(limit)).alias("body"), every.rlike(f"(?i){blocked}").alias("blocked"))
+
     page = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    title = text_of(F.regexp_extract(page, rf"(?is)<title\b{_TAG}>(.*?)</title", 1), "")
-    h1 = text_of(F.regexp_extract(page, rf"(?is)<h1\b{_TAG}>(.*?)</h1", 1), "")
-    classed = text_of(F.regexp_extract(page, rf"""(?s)<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?\bclass\s*=\s*["'][^"']*[tT]itle[^"']*["'][^>]*>(.*?)</\1""", 2), "")
-    head = F.when(h1 != "", h1).otherwise(classed)
-    og, plain = meta(page, "og:title"), meta(page, "title")
-    meta_title = F.when(og != "", og).otherwise(plain)
-    inside = F.regexp_extract(page, rf"(?is)<body\b{_TAG}>(.*)", 1)
-    body = text_of(F.when(inside != "", inside).otherwise(F.regexp_replace(page, r"(?is)<head\b.*?</head\s*>", "")))
-    every = F.concat_ws("\n", title, head, meta_title, body)
-    return F.struct(title.alias("title"), head.alias("heading"), meta_title.alias("meta_title"), F.left(body, F.lit(limit)).alias("body"), every.rlike(f"(?i){blocked}").alias("blocked"))
+    return let(let(page, of), signals)
 
 
 def json_ld(html: Column, depth: int = 3) -> Column:

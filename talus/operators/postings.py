@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.sources.tables import written
+
 #: Rows of a key in one task, about.
 BLOCK = 20_000
 #: Keys are hot, and salted, only if they also have this share of all rows: at most 1 / HOT keys.
@@ -81,7 +83,7 @@ def alike(left: DataFrame, x: str, right: DataFrame, y: str, least: float) -> Da
         keep = F.size(rare) - F.ceil(F.size(rare) * share).cast("int") + 1
         return ranked.select(name, rare.alias(f"{name}_by_rank"), F.explode(F.slice(rare, F.lit(1), keep)).alias("c_"))
 
-    met = salted_join(keyed(left, x), keyed(right, y), "c_")
+    met = salted_join(keyed(left, x), written(keyed(right, y), "keys"), "c_")
     n, m = F.size(x), F.size(y)
     met = met.where((m >= n * share) & (n >= m * share))
     shared = F.array_intersect(f"{x}_by_rank", f"{y}_by_rank")

@@ -8,6 +8,7 @@ committed is not done again.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the scratch folder and read again: computed once, safe from lost executors."""
+    path = f"{scratch(df.sparkSession)}/talus/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key with the greatest ``order`` (nulls least), ties to the greatest other values; combined before the shuffle."""
     rest = [order, *[c for c in rows.columns if c not in (*keys, order)]]
