@@ -16,7 +16,23 @@ def let(value: Column, body) -> Column:
 
 
 def is_blank(x: Column) -> Column:
-    return F.trim(F.coalesce(x, F.lit(""))) == ""
+    """Null, or nothing but white space (no-break and ideographic blanks too)."""
+    return ~F.coalesce(x, F.lit("")).rlike(r"[^\s\x{A0}\x{3000}\x{FEFF}]")
+
+
+def is_filled(value: Column, kind: str) -> Column:
+    """Whether a value of a type (as ``dtypes`` names it) holds something: text but blanks, elements, entries, fields; other types: not null.
+
+    A VARIANT is filled unless it is null, blank text, or an empty array or object.
+    """
+    if kind == "string":
+        return ~is_blank(value)
+    if kind.startswith(("array", "map")):
+        return F.coalesce(F.size(value) > 0, F.lit(False))
+    if kind == "variant":
+        text = F.trim(F.coalesce(F.to_json(value), F.lit("")))
+        return ~text.isin("", "null", "[]", "{}") & ~text.rlike(r'^"(\s|\\[nrtf])*"$')
+    return value.isNotNull()
 
 
 def first_filled(*xs: Column) -> Column:
@@ -106,6 +122,12 @@ def minor_units(p: Column) -> Column:
     return F.when((p == F.floor(p)) & (p >= 1000), p / 100).otherwise(p)
 
 
+def positive_price(p: Column, currency: Column) -> Column:
+    """A positive amount, else null; whole euro amounts of 1000 or more are in minor units, other currencies stay."""
+    good = F.when(~F.isnan(p) & (p > 0) & (p < float("inf")), p)
+    return F.when(F.upper(F.coalesce(currency, F.lit(""))) == "EUR", minor_units(good)).otherwise(good)
+
+
 def converted(price: Column, rate: float = 7.2) -> Column:
     return F.floor(price * rate + 0.5)
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -94,3 +95,24 @@ def valid_choices(rows: DataFrame, choice: str, known: DataFrame, code: str, def
     codes = known.select(F.col(code).alias("known_")).distinct()
     out = rows.join(codes, F.col(choice) == F.col("known_"), "left")
     return out.select(*[F.coalesce("known_", F.lit(default)).alias(choice) if c == choice else F.col(c) for c in rows.columns])
+
+
+def of_origin(rows: DataFrame, domestic: str, origin: str) -> DataFrame:
+    """Rows of an origin: all, domestic (true) or foreign (false); a null is neither."""
+    return rows if origin == "all" else rows.where(F.col(domestic).eqNullSafe(F.lit(origin == "domestic")))
+
+
+def only_favourites(rows: DataFrame, key: Column, favourites: DataFrame, favourite: str) -> DataFrame:
+    """Rows whose key is among the favourites, as a semi join; the key is the original id where there is one, else the id."""
+    liked = favourites.select(F.col(favourite).alias("liked_")).distinct()
+    return rows.withColumn("key_", key).join(liked, F.col("key_") == F.col("liked_"), "left_semi").drop("key_")
+
+
+def brand_options(rows: DataFrame, brand: str, domestic: str, origin: str) -> DataFrame:
+    """(place, brand): the different filled brands of an origin, sorted, whatever else is filtered.
+
+    The list of brands is what a page shows, and is numbered in one task; it
+    is the distinct names that come there, not their rows.
+    """
+    names = of_origin(rows, domestic, origin).where(F.coalesce(F.col(brand), F.lit("")) != "").select(F.col(brand).alias("brand")).distinct()
+    return names.select(F.row_number().over(Window.orderBy("brand")).alias("place"), "brand")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.columns import first_filled, is_blank
+from talus.functions.columns import first_filled, is_blank, is_filled, squeezed
 
 
 def fallback_join(items: DataFrame, brands: DataFrame, key: str, name: str) -> DataFrame:
@@ -149,6 +149,36 @@ def merged_lists(items: DataFrame, url: str, position: str, fill: list[str], hin
     return items.groupBy(url).agg(F.min(order).alias(position), *aggs, F.array_sort(F.array_distinct(F.flatten(F.collect_set(hints)))).alias(hints))
 
 
+def series_key(name: Column, url: Column, noise: str, marker: str = "/products/") -> Column:
+    """The name in lower case without noise words and signs; without one, the URL's slug after the marker in the same way; else the URL."""
+    plain = lambda x: squeezed(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), noise, " "), r"[^\p{L}\p{N}]+", " "))
+    address = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"[?#].*$", "")
+    slug = F.when(F.contains(address, F.lit(marker)), F.coalesce(F.try_url_decode(F.split_part(F.split_part(address, F.lit(marker), F.lit(2)), F.lit("/"), F.lit(1))), F.lit("")))
+    return first_filled(plain(name), plain(slug), address)
+
+
+def collapse_series(items: DataFrame, key: str, position: str, order: str, fill: list[str], hints: str) -> DataFrame:
+    """One row per series: first filled fields in order of position (nulls last), then ``order``; union of hints; rows without a key are left out."""
+    place = F.struct(F.col(position).isNull(), F.col(position), F.col(order))
+    kinds = dict(items.dtypes)
+    firsts = [F.min_by(F.col(c), F.when(is_filled(F.col(c), kinds[c]), place)).alias(c) for c in fill]
+    ranked = F.array_sort(F.collect_set(F.struct(place.alias("p"), F.col(hints).alias("h"))))  # bounded by the listings of one series
+    union = F.array_distinct(F.flatten(F.transform(ranked, lambda r: F.coalesce(r["h"], F.array().cast("array<string>")))))
+    return items.where(~is_blank(F.col(key))).groupBy(key).agg(F.min(position).alias(position), *firsts, union.alias(hints))
+
+
+def incomplete(rows: DataFrame, fields: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """Rows that lack any field, with ``missing``, the names of those they lack: what is to be filled again.
+
+    A field is lacking by :func:`talus.functions.columns.is_filled`; ``more``
+    are further conditions of lacking by name.
+    """
+    kinds = dict(rows.dtypes)
+    lacks = {f: ~is_filled(F.col(f), kinds[f]) for f in fields} | (more or {})
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in lacks.items()]))
+    return rows.withColumn("missing", names).where(F.size("missing") > 0)
+
+
 def repair_scaled(a: Column, b: Column) -> Column:
     """A price that is about a hundred times the other one is in minor units; unusable prices take the other."""
     ratio = a / b

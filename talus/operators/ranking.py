@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,3 +79,14 @@ def match_summary(lines: list[tuple[Column, str]], n: int = 4) -> Column:
     """First n distinct lines of the conditions that hold, in order."""
     got = F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in lines]))
     return F.slice(F.array_distinct(got), 1, n)
+
+
+def primary_reason(lines: Column, score: Callable[[Column, Column], Column], fallback: Column, n: int = 2, gap: str = ", ") -> Column:
+    """The n different filled lines of the highest score, earlier ones first at equal scores, joined; without a line the fallback.
+
+    ``score`` takes a line and its index among the different ones.
+    """
+    distinct = F.array_distinct(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
+    ranked = F.array_sort(F.transform(distinct, lambda x, i: F.struct((-score(x, i)).alias("s"), i.alias("i"), x.alias("line"))))
+    best = F.transform(F.slice(ranked, 1, n), lambda r: r["line"])
+    return F.when(F.size(best) > 0, F.array_join(best, gap)).otherwise(fallback)

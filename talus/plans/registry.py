@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from talus.plans import catalog, classify, events, fullscore, ingest, pages, recommend, repair, sources, text  # noqa: E402,F401  (they register themselves)
+from talus.plans import catalog, classify, events, fullscore, ingest, library, pages, recommend, repair, sources, text  # noqa: E402,F401  (they register themselves)
