@@ -48,7 +48,7 @@ CLOSES = {
 #: Log odds for content (above 0) of standing inside an element.
 REGION = {
     "nav": -6.0, "menu": -5.0, "aside": -5.0, "footer": -6.0, "form": -4.0, "dialog": -5.0, "head": -30.0, "button": -5.0,
-    "fieldset": -1.0, "header": -4.0, "noscript": -0.5,
+    "fieldset": -1.0, "header": -4.0, "noscript": -4.0,
 }
 #: Regions that may wrap a whole page: they count only if they hold less than MOST of its text.
 WRAPPERS = {"form", "fieldset", "header", "aside", "dialog", "menu", "noscript"}
@@ -80,7 +80,14 @@ _PHRASE = re.compile(
     r"(?i)^(©|\(c\)\s|copyright\b|all rights reserved|advertisement\b|sponsored\b|subscribe\b|sign (up|in)\b|log in\b"
     r"|share (this|on)\b|we use cookies|accept (all )?cookies|read more\b|leave a (comment|reply)\b)"
 )
+#: Headings of reader comments; what follows them under the same parent is theirs, up to a heading of the same rank.
+_COMMENTS = re.compile(
+    r"(?i)^(\d+\s+)?((reader|user|all|your|recent)\s+)?(comments?|responses?|replies|discussion|(leser)?kommentare?|kommentar(e|bereich)|commentaires?|comentarios?|commenti|reacties)"
+    r"(\s*\(?\d+\)?)?\s*:?$"
+)
 MAIN, OUTSIDE, MOST = 1.5, -4.0, 0.6
+#: A block is out of question below this cost of its regions and names; the best of the others is content by at least LEAST.
+OUT, LEAST = -3.0, 1.0
 ADJACENT, SAME_PARENT, SAME_GRANDPARENT = 0.4, 0.8, 0.3
 
 
@@ -285,8 +292,9 @@ def costs(elements: list[Element], blocks: list[Block]) -> list[float]:
     ruled = sum(len(b.text) for b in blocks if b.element >= 0 and inside[b.element] and below[b.element] > -3) > 0.4 * sum(
         len(b.text) for b in blocks if b.element < 0 or below[b.element] > -3
     )
-    out = []
-    for b in blocks:
+    out, asked = [], []
+    comments = commented(elements, blocks)
+    for k, b in enumerate(blocks):
         n = b.text.count(" ") + 1
         s = 0.7 * math.log1p(n) - 1.8 + 0.35 * min(3, sum(map(b.text.count, ".!?;:")))
         s -= 4.0 * b.linked if b.linked > 0.3 else 0.0
@@ -297,9 +305,41 @@ def costs(elements: list[Element], blocks: list[Block]) -> list[float]:
             s += MAIN
         elif ruled:
             s += OUTSIDE
-        if n < 25 and _PHRASE.match(b.text):
+        phrase = n < 25 and _PHRASE.match(b.text)
+        if phrase:
             s -= 2.0 if main else 4.0
+        if comments[k]:
+            s += STRONG
         out.append(s)
+        placed = below[b.element] + names[b.element] if b.element >= 0 else 0.0
+        if placed > OUT and b.linked <= 0.3 and not phrase and not comments[k] and (main or not ruled):
+            asked.append(k)
+    # length counts against the page's own blocks: where all are short, short ones are the article
+    lift = LEAST - max((out[k] for k in asked), default=LEAST)
+    if lift > 0:
+        for k in asked:
+            out[k] += lift
+    return out
+
+
+def commented(elements: list[Element], blocks: list[Block]) -> list[bool]:
+    """Which blocks stand under a heading of reader comments (the heading too)."""
+    out = [False] * len(blocks)
+    over: list[tuple[int, str]] = []  # parent and rank of the headings that hold
+    for k, b in enumerate(blocks):
+        if b.element < 0:
+            continue
+        up, chain = b.element, set()
+        while up >= 0 and over:
+            chain.add(up)
+            up = elements[up].parent
+        over = [(p, rank) for p, rank in over if p in chain]
+        tag, parent = elements[b.element].tag, elements[b.element].parent
+        if tag in ("h2", "h3", "h4", "h5", "h6"):
+            over = [(p, rank) for p, rank in over if not (p == parent and tag <= rank)]
+            if parent >= 0 and _COMMENTS.match(b.text):
+                over.append((parent, tag))
+        out[k] = bool(over)
     return out
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talus.llm.htmltext import main_text
 from talus.llm import ann, htmltext
 from talus.llm import decontaminate as dc
 
@@ -278,3 +279,19 @@ def test_extract_rows(spark):
     assert len(rows) == 5 and {2**53 + 1, None} < {r.page_id for r in rows} and all(r.n_chars == len(r.text) for r in rows)
     assert [r.text for r in rows if r.page_id in (2, None)] == ["", ""]
     assert htmltext.extract(df.limit(0)).collect() == []
+
+
+def test_short_pages_and_comment_headings():
+    long = "Long text here, with words. " * 20
+    cases = {
+        "<nav><a href=/>Home</a></nav><h1>Notice</h1><p>Closed.</p><footer>2020 us</footer>": "Notice\nClosed.",
+        "<p>Hello.</p>": "Hello.",
+        "<div>Roses are red</div><div>violets are blue</div>": "Roses are red\nviolets are blue",
+        f"<article><h1>T</h1><p>{long}</p><section><h2>Kommentare</h2><p>Great article, I liked it very much.</p></section></article>": f"T\n{long.strip()}",
+        f"<article><h1>T</h1><p>{long}</p><h2>Reader comments (3)</h2><p>I liked it very much, thank you.</p><h2>Sources</h2><p>One more paragraph, of sentences. And more.</p></article>": f"T\n{long.strip()}\nSources\nOne more paragraph, of sentences. And more.",
+        f"<noscript>Please enable JavaScript to view this page.</noscript><p>{long}</p>": long.strip(),
+        "<nav><a href=/>Home</a></nav>": "",
+        "<div class=cookie>We use cookies</div>": "",
+    }
+    for page, want in cases.items():
+        assert main_text(page) == want
