@@ -109,6 +109,27 @@ def first_numbers(rows: DataFrame, order: list[str], weight: str, key: str) -> t
     return placed.withColumn("first", F.col("first") + F.col("before")).drop("part", "before"), at
 
 
+#: Join keys need not all be bucket keys: rows bucketed by task stay where they are.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def by_task(rows: DataFrame, tasks: int, tag: str) -> DataFrame:
+    """``rows`` (with rid, a monotonically increasing id) written to the scratch folder in buckets by the task that made them, and read again.
+
+    A task writes one file, and a later join by (part, rid) moves only the
+    other side. Two buckets per task keep most tasks apart.
+    """
+    spark = rows.sparkSession
+    name = f"talus_{tag}_{uuid.uuid4().hex}"
+    placed = rows.withColumn("part", F.shiftright("rid", 33).cast("int"))
+    writer = placed.write.bucketBy(min(2 * tasks, 50_000), "part").option("compression", "zstd")
+    writer.option("path", f"{scratch_dir(spark)}/talus/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved: the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def shards(
     docs: DataFrame,
     key: int = 20_240_917,
@@ -134,7 +155,7 @@ def shards(
     """
     stride = seq_len * WIDTH
     rows = tokenised(docs, tokenizer).withColumn("rid", F.monotonically_increasing_id())
-    rows = write_table(rows.withColumn("n_seq", F.ceil(F.col("n") / seq_len)), "tokens")
+    rows = by_task(rows.withColumn("n_seq", F.ceil(F.col("n") / seq_len)), docs.rdd.getNumPartitions(), "tokens")
     numbers, total = first_numbers(rows.select("rid", "doc_id", "t", "n_seq"), ["doc_id", "t", "rid"], "n_seq", "rid")
     content = rows.agg(F.sum(F.xxhash64("doc_id", "t", "n").cast("decimal(38,0)"))).first()[0]
     order_id = xxhash.xxh3_64_intdigest(repr((key, tokenizer, seq_len, records, total, content)).encode()) >> 1
@@ -150,9 +171,10 @@ def shards(
             yield pd.DataFrame({"rid": pdf["rid"], "slots": [s.tolist() for s in slots]})
 
     slots = write_table(numbers.select("rid", "first", "n_seq").mapInPandas(permute, "rid long, slots array<long>"), "slots")
-    if 128 * slots.count() + 16 * total <= BROADCAST_BYTES:
-        slots = F.broadcast(slots)
-    placed = rows.join(slots, "rid").select("doc_id", "tokens", "n", F.posexplode("slots").alias("seq_no", "slot"))
+    slots = slots.withColumn("part", F.shiftright("rid", 33).cast("int"))
+    few = 128 * slots.count() + 16 * total <= BROADCAST_BYTES
+    slots = F.broadcast(slots) if few else slots.hint("shuffle_hash")  # a bucket's numbers, at most those of one or two input splits
+    placed = rows.join(slots, ["part", "rid"]).select("doc_id", "tokens", "n", F.posexplode("slots").alias("seq_no", "slot"))
     placed = placed.select(
         "slot",
         F.col("doc_id").cast("string").alias("doc_id"),  # exact beside nulls
@@ -197,7 +219,12 @@ def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     done = spark.read.schema(SHARD_SCHEMA).parquet(path).select("order_id", "shard") if there else None
-    shards(docs, done=done, **how).write.mode("append").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        shards(docs, done=done, **how).write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CO_PARTITION, before)
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
