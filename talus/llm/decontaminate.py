@@ -167,16 +167,17 @@ class Pieces:
 
 
 class Matcher:
-    """All items of one block."""
+    """All items of one block; those of fewer than ``short`` characters match whole texts only."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = SHORT):
         own = []
         for item_id, text in items:
             text = normal(text)
             if text:
                 own.append(Item(item_id, text, budget(len(text), rate), Myers(text), Myers(text[::-1])))
-        self.long = Pieces([i for i in own if len(i.text) >= SHORT])
-        self.short = Pieces([i for i in own if len(i.text) < SHORT])
+        self.limit = short
+        self.long = Pieces([i for i in own if len(i.text) >= short])
+        self.short = Pieces([i for i in own if len(i.text) < short])
 
     def match(self, raw: str | None) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, begin, finish) of the best place of each item found, in the normalised text."""
@@ -185,7 +186,7 @@ class Matcher:
             best = item.nearest(text, spans)
             if best is not None:
                 yield item.item_id, *best
-        if len(text) < 2 * SHORT:
+        if len(text) < 2 * self.limit:
             for item, _ in self.short.windows(text):
                 d = item.whole(text)
                 if d is not None:
@@ -210,14 +211,15 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]
         yield sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is None, r))
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = 8 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes: int = 8 << 20, short: int = SHORT) -> DataFrame:
     """Rows (doc_id, item_id, distance, begin, finish) of documents that hold an item.
 
     An item of n characters may differ by ``int(rate * n)`` edits; case and
     white space do not count, and a match begins and ends with whole words.
     The best place of an item in a document is given, as places of the text's
     own characters: least distance, then first end. An item of fewer than
-    SHORT characters matches only a document that is nothing else. Null and
+    ``short`` characters, a common phrase, matches only a document that is
+    nothing else; with 0 every item matches wherever it stands. Null and
     empty texts and items match nothing; null ids are kept; texts of any
     length are read whole; repeated rows match as often as they occur; an
     empty table on either side gives no rows; other columns are ignored. The
@@ -231,7 +233,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_bytes:
     for own in blocks(items, block_bytes):
 
         def make(own=own):
-            matcher = Matcher(own, rate)
+            matcher = Matcher(own, rate, short)
 
             def of(batch):
                 rows = [(d, *m) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for m in matcher.located(t)]
@@ -249,25 +251,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean_texts(own: list[tuple[int, str]], rate: float):
+def clean_texts(own: list[tuple[int, str]], rate: float, short: int = SHORT):
     """A column function: whether a text holds none of the items."""
     built: list[Matcher] = []
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         if not built:
-            built.append(Matcher(own, rate))
+            built.append(Matcher(own, rate, short))
         return pd.Series([next(built[0].match(t), None) is None for t in texts], dtype=bool)
 
     return clean
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, rate: float = RATE, block_bytes: int = 8 << 20) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, rate: float = RATE, block_bytes: int = 8 << 20, short: int = SHORT) -> DataFrame:
     """Pipeline stage: documents without a benchmark item, all columns kept.
 
     Each row is judged by its own text in one pass: ids, null ones too, and
     repeated rows play no part. Null and empty texts stay.
     """
     for own in blocks(table(spark, sf_dir, "benchmark"), block_bytes):
-        docs = docs.where(clean_texts(own, rate)(F.col("text")))
+        docs = docs.where(clean_texts(own, rate, short)(F.col("text")))
     return docs

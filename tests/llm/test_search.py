@@ -295,3 +295,11 @@ def test_short_pages_and_comment_headings():
     }
     for page, want in cases.items():
         assert main_text(page) == want
+
+
+def test_short_items_match_anywhere_if_asked():
+    items = [(1, "Short one"), (2, "the")]
+    assert [m[0] for m in dc.Matcher(items, dc.RATE).match("a short ONE here")] == []
+    assert [m[0] for m in dc.Matcher(items, dc.RATE, 0).match("a short ONE here")] == [1]
+    assert [m[0] for m in dc.Matcher(items, dc.RATE, 0).match("in the other")] == [2]
+    assert [m[0] for m in dc.Matcher(items, dc.RATE, 0).match("in other places")] == []
