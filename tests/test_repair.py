@@ -155,3 +155,48 @@ def test_append_to_a_new_table(spark, tmp_path):
     files.append_events(rows, str(tmp_path / "n"))
     assert spark.read.parquet(str(tmp_path / "n")).count() == 5
     assert files.content_version(rows.limit(0)) == ""
+
+
+def test_merge_of_two_sources_as_a_loop(spark):
+    """Against items applied one by one: blanks filled first come first served, inserts no targets of each other."""
+    import random
+
+    from talus.operators.matching import merge_two_sources
+
+    r = random.Random(4)
+    blank = lambda v: v is None or (isinstance(v, str) and not v.strip())
+    fields = ["brand", "note", "price"]
+
+    def row(pos):
+        return (pos, r.choice([None, "", "a", "b", "c"]), r.choice([" X", "x ", "y", "", None, "z"]), r.choice(["B", "b", " ", None, "c"]), r.choice([None, " ", "n1", "n2"]), r.choice([None, 0.0, 1.5]))
+
+    def key(x):
+        name, brand = ((x[k] or "").strip().lower() for k in (2, 3))
+        return (name, brand) if name and brand else None
+
+    schema = "pos int, oid string, name string, brand string, note string, price double"
+    for _ in range(6):
+        targets, items = [row(i) for i in range(12)], [row(i) for i in range(25)]
+        rows, by_id, by_name, counts = [list(t) for t in targets], {}, {}, [0, 0, 0, 0]
+        for k, t in enumerate(targets):
+            if t[1]:
+                by_id[t[1]] = k
+            if key(t):
+                by_name[key(t)] = k
+        for i in items:
+            at = by_id.get(i[1]) if i[1] else None
+            how = 0 if at is not None else 1
+            at = at if at is not None else by_name.get(key(i))
+            if at is None:
+                rows.append(list(i))
+                counts[2] += 1
+                continue
+            counts[how] += 1
+            for f in (3, 4, 5):
+                if blank(rows[at][f]) and not blank(i[f]):
+                    rows[at][f] = i[f]
+                    counts[3] += 1
+        got = merge_two_sources(spark.createDataFrame(targets, schema), spark.createDataFrame(items, schema), "oid", "name", "brand", "pos", fields).collect()
+        found = [[x[c] for c in ("pos", "oid", "name", "brand", "note", "price")] for x in got]
+        assert sorted(map(repr, found)) == sorted(map(repr, rows))
+        assert [sum(x.by_key for x in got), sum(x.by_name for x in got), sum(x.origin == "insert" for x in got), sum(x.filled for x in got)] == counts
