@@ -278,6 +278,8 @@ def costs(elements: list[Element], blocks: list[Block]) -> list[float]:
             main = True
         elif e.tag == "header" and main:
             cost -= 0.3
+        elif e.tag == "noscript" and main:
+            cost -= 0.5  # often the text of something that a script would load
         elif not (most and e.tag in WRAPPERS):
             cost += REGION.get(e.tag, 0.0)
         if e.strong:
