@@ -9,7 +9,9 @@ from talus.functions.columns import squeezed
 from talus.operators import tags as T
 from talus.plans.registry import query, table
 
-REFS = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+REFS = "{0}"  # the references that the given pages have; the query knows all
+for _name, _sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")):
+    REFS = f"regexp_replace({REFS}, '&{_name};?', '{_sign}', 'g')"
 SQUEEZED = "trim(regexp_replace({0}, '[\\s  　]+', ' ', 'g'))"
 BARE = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"
 

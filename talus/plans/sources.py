@@ -69,7 +69,7 @@ def src_storefront(spark, sf_dir):
     product = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_type").alias("tags"), variants.alias("variants"))
     page = F.floor(F.col("p_partkey") / 250)  # feeds have pages of 250 products
     path = folder(spark, "feed")
-    part.select(page.alias("page"), product.alias("p")).groupBy("page").agg(F.to_json(F.struct(F.collect_list("p").alias("products"))).alias("value")).select("value").write.text(path)
+    part.select(page.alias("page"), product.alias("p")).groupBy("page").agg(F.to_json(F.struct(F.collect_list("p").alias("products"))).alias("value")).write.partitionBy("page").text(path)  # a file per page
     return files.read_storefront(spark, path).select("id", "title", files.variant_price(F.col("variants")).alias("price"))
 
 
