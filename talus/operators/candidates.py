@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from talus.functions.columns import ascii_edges
+
 
 @dataclass(frozen=True)
 class Preferences:
@@ -82,7 +84,7 @@ def price_band(price: Column, bounds: tuple[float, ...]) -> Column:
 def contaminant(*texts: Column, patterns: tuple[str, ...]) -> Column:
     """Does any pattern occur in the joined lower-case text?"""
     hay = F.lower(F.concat_ws(" ", *texts))
-    return hay.rlike("|".join(f"(?:{x})" for x in patterns))
+    return hay.rlike("|".join(f"(?:{ascii_edges(x)})" for x in patterns))
 
 
 def valid_choice(choice: str, known: list[str], default: str = "all") -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.columns import first_filled, is_blank, is_filled, squeezed
+from talus.functions.columns import ascii_edges, first_filled, is_blank, is_filled, squeezed
 
 
 def fallback_join(items: DataFrame, brands: DataFrame, key: str, name: str) -> DataFrame:
@@ -151,7 +151,7 @@ def merged_lists(items: DataFrame, url: str, position: str, fill: list[str], hin
 
 def series_key(name: Column, url: Column, noise: str, marker: str = "/products/") -> Column:
     """The name in lower case without noise words and signs; without one, the URL's slug after the marker in the same way; else the URL."""
-    plain = lambda x: squeezed(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), noise, " "), r"[^\p{L}\p{N}]+", " "))
+    plain = lambda x: squeezed(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), ascii_edges(noise), " "), r"[^\p{L}\p{N}]+", " "))
     address = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"[?#].*$", "")
     slug = F.when(F.contains(address, F.lit(marker)), F.coalesce(F.try_url_decode(F.split_part(F.split_part(address, F.lit(marker), F.lit(2)), F.lit("/"), F.lit(1))), F.lit("")))
     return first_filled(plain(name), plain(slug), address)

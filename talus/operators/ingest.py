@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.columns import first_filled, is_blank, squeezed
+from talus.functions.columns import ascii_edges, first_filled, is_blank, squeezed
 
 
 def parameters(rows: DataFrame, id_: str, text: Column, names: dict[str, str], limit: int = 220) -> DataFrame:
@@ -48,7 +48,7 @@ def first_sentence(text: Column) -> Column:
 
 def display_name(name: Column, brand: Column, noise: str, limit: int = 60) -> Column:
     """A name without noise words and a leading brand, squeezed and cut to ``limit`` characters."""
-    out = squeezed(F.regexp_replace(F.coalesce(name, F.lit("")), f"(?i){noise}", " "))
+    out = squeezed(F.regexp_replace(F.coalesce(name, F.lit("")), f"(?i){ascii_edges(noise)}", " "))
     low = F.lower(F.coalesce(brand, F.lit("")))
     led = (low != "") & F.startswith(F.lower(out), F.concat(low, F.lit(" ")))
     return F.left(F.when(led, F.trim(F.substr(out, F.length(low) + 1))).otherwise(out), F.lit(limit))

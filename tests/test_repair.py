@@ -93,6 +93,17 @@ def test_mergeable_groups(spark):
     assert got == {1: (2, True), 2: (2, True), 3: (2, False), 6: (2, True)}
 
 
+def test_word_edges_are_ascii(spark):
+    text = F.lit("sesesó ciónesez AP\u0130 KEY é12345é thé éthe")
+    rules = [("edge", r"[a-z]{3}es\b", "", 2), ("inner", r"\bthe\b", "", 3), ("dotted", r"api key", "", 5), ("escaped", r"\\b", "", 7), ("negative", "key", r"\b12345\b", 11)]
+    flags, score = fullscore.families(text, rules)
+    r = one(spark, f=flags, s=score)
+    assert r.f.asDict() == {"edge": True, "inner": True, "dotted": True, "escaped": False, "negative": False} and r.s == 10
+    r = one(spark, n=fullscore.first_number(text, (r"\b(\d{5})\b",)), c=candidates.contaminant(F.lit("éspamé"), patterns=(r"\bspam\b",)), d=ingest.display_name(F.lit("éNEWé lamp"), F.lit(""), r"\bnew\b"))
+    assert (r.n, r.c, r.d) == (12345, True, "é é lamp")
+    assert one(spark, k=catalog.series_key(F.lit("éNEWé lamp"), F.lit(""), r"\bnew\b")).k == "é é lamp"
+
+
 def test_token_recall_against_contains(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcé1", k=rng.randint(1, 7)))
