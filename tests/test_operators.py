@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talus.functions import columns as X
 from talus.operators import adjustments as A
@@ -12,6 +14,7 @@ from talus.operators import catalog as K
 from talus.operators import events as E
 from talus.operators import ingest as I
 from talus.operators import ranking as R
+from talus.operators import related
 from talus.operators import rules as T
 from talus.operators import scoring as S
 
@@ -313,3 +316,27 @@ def test_answer_path_aggregates_before_it_collects(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     collected, below = plan.split("collect_list", 1)
     assert "max(" in below and "Aggregate [u" in below
+
+
+def test_related_against_all_pairs(spark, monkeypatch):
+    """Blocks, ragged, null, zero, tiny and not finite vectors, ties and repeated ids give what the plain join gives."""
+    rng = random.Random(8)
+    for name, n in (("ROWS", 7), ("QUERIES", 3), ("STRIPE", 2), ("PAIRS", 5), ("TAGS", 2)):
+        monkeypatch.setattr(related, name, n)
+    odd = [None, [], [0.0] * 4, [1.0, None, 2.0, 3.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1e-170] * 4, [1e-200, 0.0, 0.0, 0.0], [1.0, 2.0], [3e160] * 4]
+    vecs = odd + [[float(rng.randint(-2, 2)) for _ in range(rng.choice((4, 4, 4, 5)))] for _ in range(90)]
+    rows = [(i % 97, rng.choice((1, 2, None)) if i > 20 else 1, v, rng.choice((["a", "b", "a"], ["b", "c", None], [], None, list("defg"))), rng.choice((None, 0.0, 2.0))) for i, v in enumerate(vecs)]
+    e = spark.createDataFrame(rows, "id long, g int, v array<double>, tags array<string>, plus double")
+    got = related.related(e, "g", "id", "v", F.col("id") % 3 == 0, 4, 6, 100.0, "tags", 8.0, F.col("plus"))
+    q = e.where("id % 3 = 0").select(F.col("id").alias("q"), "g", F.col("v").alias("qv"), F.col("tags").alias("qt"))
+    empty = F.array().cast("array<string>")
+    score = 100 * X.cosine(F.col("qv"), F.col("v")) + 8 * X.overlap(F.coalesce("qt", empty), F.coalesce("tags", empty)) + F.coalesce("plus", F.lit(0.0))
+    s = q.join(e, "g").where("q <> id").select("q", F.col("id").alias("c"), F.round(score, 6).alias("score"))
+    want = s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where("rank <= 4")
+    plain = lambda df: sorted(repr((r.q, r.rank, r.c, r.score + 0.0)) for r in df.collect())
+    assert plain(got.withColumn("score", F.round("score", 6))) == plain(want) and want.count() > 90
+    one_row = related.related(e.where("id = 0 AND v IS NULL"), "g", "id", "v", F.lit(True), 3, 9)
+    assert one_row.collect() == [] and related.related(e.limit(0), "g", "id", "v", F.lit(True), 3, 9).collect() == []
+    count = [[sum(t in (b or ()) for t in a or () if t is not None) for b in (["a"], list("bcd"), None)] for a in (list("aba"), list("dcbb"), [None], None)]
+    assert related.overlaps([list("aba"), list("dcbb"), [None], None], [["a"], list("bcd"), None]).tolist() == count
+    assert related.half_up(np.array([0.0009765625, -0.0009765625, 2.5e-7]), 9).tolist() == [0.000976563, -0.000976563, 2.5e-7]
