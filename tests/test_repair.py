@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from talus.functions import columns as X
@@ -119,6 +120,22 @@ def test_token_recall_against_contains(spark):
     assert got == want
 
 
+def test_token_recall_counts_every_text(spark, monkeypatch):
+    """Repeated and missing ids are texts of their own; blocks of items, forgotten runs and long ones change nothing."""
+    texts = [(1, "abc xyz1"), (1, "abc"), (1, "xyz1 noth"), (None, "abc xyz1"), (None, None), (2, "d\u0130e " + "q" * 80 + "xyz1" + "q" * 80), (3, "小雪人é小")]
+    items = [("a", ["abc", "xyz1"]), ("b", ["die", "xyz1", "no-run"]), ("c", ["雪人", "人é"]), ("d", ["none"]), ("e", []), (None, ["abc"])]
+    d, q = spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(items, "i string, k array<string>")
+    want = {"a": (1.0, 2, 3 - 1), "b": (2 / 3, 0, 7 - 4), "c": (0.5, 0, 6), "d": (0.0, 0, 7), None: (1.0, 3, 4)}
+    for size in (8 << 20, 30):
+        assert {r.i: (r.best, r.n_match, r.n_mismatch) for r in matching.token_recall(q, "i", "k", d, "d", "t", size).collect()} == want
+    for name, n in (("KNOWN", 1), ("LONGEST", 3), ("SCORES", 8)):
+        monkeypatch.setattr(matching, name, n)
+    fold = matching.recalls([["abc", "xyz1"], ["die", "xyz1"], ["雪人"]], [2, 3, 2])
+    low = pa.table({"text": [(t or "").replace("\u0130", "i") for _, t in texts]}).to_batches(max_chunksize=3)
+    assert pa.Table.from_batches(fold(iter(low))).to_pydict() == {"item": [0, 1, 2], "best": [1.0, 2 / 3, 0.5], "n_match": [2, 0, 0], "n_some": [5, 4, 1]}
+    assert pa.Table.from_batches(fold(iter([]))).num_rows == 0
+
+
 def test_safe_patches_and_subtypes(spark):
     kids = {"a": ("x",), "b": ("y",)}
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None), (None, "x")], "p string, c string")
